@@ -77,7 +77,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", fetched_at(F.col("page_id")).alias("at"))
-    return warc.round_trip(pages, date=F.col("at")).drop("payload")
+    return warc.round_trip(pages, date=F.col("at"), payloads=False).drop("payload")
 
 
 def op8_lbl(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,14 @@ splits the HTTP header off the payload, and synthesises what a WARC record of th
 capture has: a name-based record id, an ISO timestamp, a type and base32 SHA-1 digests. Of
 records with equal payloads one becomes a response, the others revisits of it.
 
-Plan. Archives are files of bounded size in the shared folder, one archive per row of
-Spark's text sink (gzip), so any store that Spark can write will do; they are read with the
-binaryFile source and parsed by declared lengths, never by looking for separators. Which
-record of a payload is the response comes from ids and digests alone: a max by digest,
-combined before the shuffle, then a join of the small rows, whose hot digests adaptive
-execution splits. Payloads are shuffled once, by record id, to meet their type.
+Plan. Archives are files of bounded size in the shared folder, gzip members record by
+record, one archive per row of Spark's text sink, so any store that Spark can write will do
+(its line end, a NUL, is padding that gzip readers skip); they are read with the binaryFile
+source and parsed by declared lengths, never by looking for separators. Which record of a
+payload is the response comes from ids and digests alone: a max by digest, combined before
+the shuffle, then a join of the small rows, whose hot digests adaptive execution splits.
+The verdicts are gathered by archive, which bounds them, and meet the compressed archives,
+not the single payloads.
 """
 
 from __future__ import annotations
@@ -33,14 +35,16 @@ from .shared import shared_path
 
 #: Bytes of an archive before compression; those of an Arrow batch of records.
 ARCHIVE_BYTES, BATCH_BYTES, MIN_REVISIT_BYTES = 8 << 20, 4 << 20, 0
+#: Speed of compression (zlib's 1 to 9), and bytes that are fed to a member at a time.
+LEVEL, FEED = 2, 1 << 14
 #: The fields of ARC header lines by version.
 ARC_FIELDS = {
     "1": ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     "2": ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-RECORD = "page_id long, url string, warc_date string, mime string, status int, record_id string, payload_bytes long, payload_digest string, payload binary"
-_RECORD_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+RECORD = "page_id long, url string, warc_date string, mime string, status int, record_id string, payload_bytes long, payload_digest string, payload binary, path string"
+_RECORD_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
 
 
 def digest(data: bytes) -> str:
@@ -117,19 +121,27 @@ def iso_date(arc_date: str) -> str:
         return "1970-01-01T00:00:00Z"
 
 
+def _member(data: bytes) -> bytes:
+    c = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return c.compress(data) + c.flush()
+
+
 def _gunzip(data: bytes) -> bytes:
-    """All members of a gzip file, or the bytes themselves."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
+    """All members of a gzip file, padding left out, or the bytes themselves."""
+    out, at = [], 0
+    while data[at : at + 2] == b"\x1f\x8b":
         d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
-    return b"".join([*out, data]) if out else data
+        while not d.eof and at < len(data):
+            piece = data[at : at + FEED]
+            out.append(d.decompress(piece))
+            at += len(piece) - len(d.unused_data)
+    return b"".join(out) if at else data
 
 
-def _archives(rows: DataFrame, name: str, kind: Callable[[int], Callable], archive_bytes: int) -> str:
-    """Writes archives of about archive_bytes from rows; kind(n) makes the nth archive's
-    opening bytes and a function from a row and an offset to a record's bytes."""
+def _archives(rows: DataFrame, name: str, kind: Callable[[int], tuple], archive_bytes: int, records: Callable = lambda *row: (row,)) -> str:
+    """Writes archives of about archive_bytes; records(*row) makes what records tell of,
+    kind(n) the nth archive's opening bytes and a function from that and an offset to a
+    record's bytes."""
     width = len(rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +152,12 @@ def _archives(rows: DataFrame, name: str, kind: Callable[[int], Callable], archi
             return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(width))):
+            for row in (x for k in range(batch.num_rows) for x in records(*(batch.column(i)[k].as_py() for i in range(width)))):
                 if not held:
-                    held, size = [open_], len(open_)
-                held.append(record(row, size))
-                size += len(held[-1])
+                    held, size = [_member(open_)], len(open_)
+                data = record(row, size)
+                held.append(_member(data))
+                size += len(data)
                 if size >= archive_bytes:
                     yield out()
                     n, held = n + 1, []
@@ -154,7 +167,7 @@ def _archives(rows: DataFrame, name: str, kind: Callable[[int], Callable], archi
 
     path = shared_path(rows.sparkSession, name)
     archives = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    archives.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    archives.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
     return path
 
 
@@ -174,22 +187,29 @@ def _files(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.format("binaryFile").load(path).select("path", "content")
 
 
+def arc_rows(data: bytes, path: str, payloads: bool = True) -> Iterator[tuple]:
+    """The records of an archive, as read_arc has them."""
+    for fields, offset, content in parse_arc(_gunzip(data)):
+        status, headers, payload = _http_parts(content)
+        code = fields.get("Result-code", "")
+        page = headers.get("x-page-id", "")
+        of = digest(payload)
+        name = f"{fields['URL']} {fields['Archive-date']} {of} {path.rpartition('/')[2]} {offset}"
+        yield int(page) if page.lstrip("-").isdigit() else None, fields["URL"], iso_date(fields["Archive-date"]), fields["Content-type"], int(code) if code.isdigit() else status, f"<urn:uuid:{uuid5(NAMESPACE_URL, name)}>", len(payload), of, payload if payloads else None, path
+
+
 def read_arc(files: DataFrame, payloads: bool = True) -> DataFrame:
     """Records of ARC files (path, content): page_id (from an X-Page-Id header, else null), url,
-    warc_date, mime, status, record_id, payload_bytes, payload_digest and payload (null without payloads)."""
+    warc_date, mime, status, record_id, payload_bytes, payload_digest, payload (null without
+    payloads) and path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                path, rows, size = batch.column(0)[i].as_py(), [], 0
-                for fields, offset, content in parse_arc(_gunzip(batch.column(1)[i].as_py())):
-                    status, headers, payload = _http_parts(content)
-                    code = fields.get("Result-code", "")
-                    page = headers.get("x-page-id", "")
-                    of = digest(payload)
-                    name = f"{fields['URL']} {fields['Archive-date']} {of} {path.rpartition('/')[2]} {offset}"
-                    rows.append((int(page) if page.lstrip("-").isdigit() else None, fields["URL"], iso_date(fields["Archive-date"]), fields["Content-type"], int(code) if code.isdigit() else status, f"<urn:uuid:{uuid5(NAMESPACE_URL, name)}>", len(payload), of, payload if payloads else None))
-                    size += len(payload) if payloads else 100
+                rows, size = [], 0
+                for row in arc_rows(batch.column(1)[i].as_py(), batch.column(0)[i].as_py(), payloads):
+                    rows.append(row)
+                    size += row[6] if payloads else 100
                     if size >= BATCH_BYTES:
                         yield _batch(rows)
                         rows, size = [], 0
@@ -204,15 +224,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def typed(index: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(record_id, to_page, to_record, to_url, to_date) of the records that are revisits.
+    """(path, record_id, to_page, to_record, to_url, to_date) of the records that are revisits.
 
     Of records with equal payloads of at least min_revisit_bytes that with the greatest
     page_id, then record id, is the response.
     """
     long_enough = index.where(F.col("payload_bytes") >= min_revisit_bytes)
     best = long_enough.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "record_id", "url", "warc_date")).alias("r"), F.count("*").alias("n")).where("n > 1")
-    found = long_enough.select("record_id", "payload_digest", "payload_bytes").join(best, ["payload_digest", "payload_bytes"])
-    return found.where("record_id <> r.record_id").select("record_id", F.col("r.page_id").alias("to_page"), F.col("r.record_id").alias("to_record"), F.col("r.url").alias("to_url"), F.col("r.warc_date").alias("to_date"))
+    found = long_enough.select("path", "record_id", "payload_digest", "payload_bytes").join(best, ["payload_digest", "payload_bytes"])
+    return found.where("record_id <> r.record_id").select("path", "record_id", F.col("r.page_id").alias("to_page"), F.col("r.record_id").alias("to_record"), F.col("r.url").alias("to_url"), F.col("r.warc_date").alias("to_date"))
 
 
 def _warc(kind: str, record_id: str, date: str, more: list[tuple[str, object]], block: bytes) -> bytes:
@@ -227,24 +247,29 @@ def convert(arc_path: str, spark_df: DataFrame, min_revisit_bytes: int = MIN_REV
     """
     files = _files(spark_df, arc_path)
     revisits = typed(read_arc(files, payloads=False), min_revisit_bytes)
-    rows = read_arc(files).join(revisits, "record_id", "left").select("page_id", "url", "warc_date", "mime", "status", "record_id", "payload_digest", "payload", "to_page", "to_record", "to_url", "to_date")
+    verdicts = revisits.groupBy("path").agg(F.collect_list(F.struct("record_id", "to_page", "to_record", "to_url", "to_date")).alias("revisits"))
+
+    def records(path: str, content: bytes, revisits: list[dict] | None) -> Iterator[tuple]:
+        to = {r["record_id"]: r for r in revisits or ()}
+        for row in arc_rows(content, path):
+            yield row, to.get(row[5])
 
     def kind(n: int) -> tuple:
         def record(row: tuple, at: int) -> bytes:
-            page, url, date, mime, status, record_id, of, payload, to_page, to_record, to_url, to_date = row
+            (page, url, date, mime, status, record_id, _, of, payload, _), to = row
             more: list[tuple[str, object]] = [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{of}"), ("WARC-Identified-Payload-Type", mime)]
             head = _http(page, payload) if status in (None, 200) else _http(page, payload).replace(b" 200 OK", f" {status} -".encode(), 1)
-            if to_record:
-                more += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", to_record), ("WARC-Refers-To-Target-URI", to_url), ("WARC-Refers-To-Date", to_date)]
-                more += [] if to_page is None else [("X-Refers-To-Page-Id", to_page)]
-            block = head if to_record else head + payload
+            if to:
+                more += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", to["to_record"]), ("WARC-Refers-To-Target-URI", to["to_url"]), ("WARC-Refers-To-Date", to["to_date"])]
+                more += [] if to["to_page"] is None else [("X-Refers-To-Page-Id", to["to_page"])]
+            block = head if to else head + payload
             more += [("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Type", "application/http; msgtype=response")]
-            return _warc("revisit" if to_record else "response", record_id, date, more, block)
+            return _warc("revisit" if to else "response", record_id, date, more, block)
 
         info = b"software: topograin\r\nformat: WARC file version 1.1\r\n"
         return _warc("warcinfo", f"<urn:uuid:{uuid5(NAMESPACE_URL, f'warcinfo {n}')}>", "2024-01-01T00:00:00Z", [("Content-Type", "application/warc-fields")], info), record
 
-    return _archives(rows, "warc", kind, archive_bytes)
+    return _archives(files.join(verdicts, "path", "left").select("path", "content", "revisits"), "warc", kind, archive_bytes, records)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -262,9 +287,9 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, data[stop + 4 : at]
 
 
-def read_warc(files: DataFrame) -> DataFrame:
+def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
     """Captures of WARC files (path, content): page_id, payload_bytes, payload_digest, record_type,
-    refers_to, record_id, url, warc_date, payload (null for revisits).
+    refers_to, record_id, url, warc_date, payload (null for revisits, or without payloads).
 
     A response's digest is computed anew and must be the one that its header has.
     """
@@ -287,8 +312,8 @@ def read_warc(files: DataFrame) -> DataFrame:
                     if digest(block) != headers["warc-block-digest"].removeprefix("sha1:") or kind == "response" and digest(payload) != of:
                         raise ValueError(f"record {headers['warc-record-id']} is damaged")
                     page, to = http.get("x-page-id"), headers.get("x-refers-to-page-id")
-                    rows.append((int(page) if page else None, len(payload) if kind == "response" else int(http["content-length"]), of, kind, int(to) if to else None, headers["warc-record-id"], headers["warc-target-uri"], headers["warc-date"], payload if kind == "response" else None))
-                    size += len(payload)
+                    rows.append((int(page) if page else None, len(payload) if kind == "response" else int(http["content-length"]), of, kind, int(to) if to else None, headers["warc-record-id"], headers["warc-target-uri"], headers["warc-date"], payload if kind == "response" and payloads else None))
+                    size += len(payload) if payloads else 100
                     if size >= BATCH_BYTES:
                         yield out()
                         rows, size = [], 0
@@ -298,11 +323,11 @@ def read_warc(files: DataFrame) -> DataFrame:
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, warc_date string, payload binary")
 
 
-def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: Column | None = None, min_revisit_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: Column | None = None, min_revisit_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, payloads: bool = True) -> DataFrame:
     """Pages written as ARC, converted to WARC, and read back: the rows of read_warc.
 
     A null page is an empty one, null ids stay null, and repeated rows are records of their own.
     An empty table gives none.
     """
     arc = write_arc(pages, id_col, url_col, html_col, date, archive_bytes)
-    return read_warc(_files(pages, convert(arc, pages, min_revisit_bytes, archive_bytes)))
+    return read_warc(_files(pages, convert(arc, pages, min_revisit_bytes, archive_bytes)), payloads)
