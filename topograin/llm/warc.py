@@ -7,8 +7,8 @@ splits the HTTP header off the payload, and synthesises what a WARC record of th
 capture has: a name-based record id, an ISO timestamp, a type and base32 SHA-1 digests. Of
 records with equal payloads one becomes a response, the others revisits of it.
 
-Plan. Archives are files of bounded size in the shared folder, gzip members record by
-record, one archive per row of Spark's text sink, so any store that Spark can write will do
+Plan. Archives are files of bounded size in the shared folder, compressed as a whole (ARC)
+or record by record (WARC), one archive per row of Spark's text sink, so any store that Spark can write will do
 (its line end, a NUL, is padding that gzip readers skip); they are read with the binaryFile
 source and parsed by declared lengths, never by looking for separators. Which record of a
 payload is the response comes from ids and digests alone: a max by digest, combined before
@@ -36,7 +36,7 @@ from .shared import shared_path
 #: Bytes of an archive before compression; those of an Arrow batch of records.
 ARCHIVE_BYTES, BATCH_BYTES, MIN_REVISIT_BYTES = 8 << 20, 4 << 20, 0
 #: Speed of compression (zlib's 1 to 9), and bytes that are fed to a member at a time.
-LEVEL, FEED = 2, 1 << 14
+LEVEL, FEED = 4, 1 << 14
 #: The fields of ARC header lines by version.
 ARC_FIELDS = {
     "1": ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -138,10 +138,12 @@ def _gunzip(data: bytes) -> bytes:
     return b"".join(out) if at else data
 
 
-def _archives(rows: DataFrame, name: str, kind: Callable[[int], tuple], archive_bytes: int, records: Callable = lambda *row: (row,)) -> str:
+def _archives(rows: DataFrame, name: str, kind: Callable[[int], tuple], archive_bytes: int, records: Callable = lambda *row: (row,), members: bool = True) -> str:
     """Writes archives of about archive_bytes; records(*row) makes what records tell of,
     kind(n) the nth archive's opening bytes and a function from that and an offset to a
-    record's bytes."""
+    record's bytes. With members each record is compressed on its own, else the archive as
+    a whole."""
+    packed = _member if members else bytes
     width = len(rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,14 +151,14 @@ def _archives(rows: DataFrame, name: str, kind: Callable[[int], tuple], archive_
         open_, record = kind(0)
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held) if members else _member(b"".join(held))], pa.binary())], ["value"])
 
         for batch in batches:
             for row in (x for k in range(batch.num_rows) for x in records(*(batch.column(i)[k].as_py() for i in range(width)))):
                 if not held:
-                    held, size = [_member(open_)], len(open_)
+                    held, size = [packed(open_)], len(open_)
                 data = record(row, size)
-                held.append(_member(data))
+                held.append(packed(data))
                 size += len(data)
                 if size >= archive_bytes:
                     yield out()
@@ -180,7 +182,7 @@ def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     stamp = F.lit("20240101000000") if date is None else F.coalesce(F.date_format(date, "yyyyMMddHHmmss"), F.lit("19700101000000"))
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    return _archives(pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), stamp, payload), "arc", kind, archive_bytes)
+    return _archives(pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), stamp, payload), "arc", kind, archive_bytes, members=False)
 
 
 def _files(df: DataFrame, path: str) -> DataFrame:
