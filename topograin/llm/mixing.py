@@ -13,7 +13,7 @@ passes over its documents and one partial pass, the last document of which may b
 
 Plan, built-in functions only. Sizes are counted once and kept, without texts, in the
 shared folder. Sums by source are combined before the shuffle. A running sum over a source
-is split over hash buckets of about `bucket_rows` rows: sums by bucket, a running sum of
+is split over hash buckets of about `bucket_rows` rows of the source: sums by bucket, a running sum of
 those, and a window within (source, bucket), so that a source with a third of all rows is
 dealt over as many tasks as its rows need. The table of sources is broadcast only if its
 counted rows are within `broadcast_rows`.
@@ -29,7 +29,7 @@ from .shared import WORD, written
 WEIGHTS, SHARE, MAX_REPEAT = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Knots (time, weight) for the sources of each weight: large ones lead, small ones follow.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
-BUCKET_ROWS, BROADCAST_ROWS = 20_000, 100_000
+BUCKET_ROWS, BROADCAST_ROWS = 2_000, 100_000
 
 
 def words(text: Column) -> Column:
@@ -37,11 +37,11 @@ def words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_repeat: float = MAX_REPEAT) -> DataFrame:
-    """(source, source_size, rank, target) from rows (source, size).
+    """(source, source_rows, source_size, rank, target) from rows (source, size).
 
     Sources in code point order, null last, take the weights in turn.
     """
-    own = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    own = sizes.groupBy("source").agg(F.count("*").alias("source_rows"), F.sum("size").alias("source_size"))
     ranked = own.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("rank") - 1) % len(weights)) + 1)
     ranked = ranked.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(max_repeat))
@@ -50,7 +50,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     total, weight = F.sum("source_size").over(every) * F.lit(share), F.sum("w").over(every)
     level = (total - F.coalesce(F.sum("cap").over(order), F.lit(0.0))) / (weight - F.coalesce(F.sum("w").over(order), F.lit(0.0)))
     filled = ranked.withColumn("level", level).withColumn("level", F.max("level").over(every))
-    return filled.select("source", "source_size", "rank", F.least("cap", F.col("level") * F.col("w")).alias("target"))
+    return filled.select("source", "source_rows", "source_size", "rank", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
 def invert(y: Column, knots: Column) -> Column:
@@ -88,10 +88,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     text, doc_id = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
     base = written(docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(source_col).alias("source"), words(text).alias("size"), F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")).alias("k")), "sizes")
-    buckets = max(1, -(-base.count() // bucket_rows))
     sources = written(targets(base, weights, share, max_repeat), "targets")
     side = F.broadcast(sources) if sources.count() <= broadcast_rows else sources
-    bucket = F.floor(F.conv(F.substring("k", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.lit(float(buckets))).cast("long")
+    bucket = F.floor(F.conv(F.substring("k", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.ceil(F.col("source_rows") / F.lit(bucket_rows))).cast("long")
     rows = base.join(side.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", bucket)
     sums = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
