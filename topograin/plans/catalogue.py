@@ -22,7 +22,7 @@ from ..operators import mentions as M
 from ..operators import pair_mining, splits
 from ..sources import annotated as A
 from ..sources import kb
-from ..sources.kb import table
+from ..sources.tables import table
 from .pipeline import Pipeline, output
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,24 +323,28 @@ TOKENS = rf"""lines AS (SELECT conv_id AS doc_id, turn AS sent_idx, string_split
     tokens AS (SELECT doc_id, sent_idx, tok, word, start, "end", cap, before, CASE WHEN NOT cap THEN 'O' WHEN before THEN 'I-' || {TYPES} ELSE 'B-' || {TYPES} END AS entity, ((tok * 37 + length(word) * 11) % 100) / 100.0::DOUBLE AS score FROM runs)"""
 
 
-def tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Words of conversations with offsets; runs of capitalised ones are tagged, types by length."""
-    line = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
-    words = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("sent_idx"), F.split(line, " ").alias("ws"))
-    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("cap"), F.array().cast("array<struct<word:string,entity:string,score:double,start:int,end:int>>").alias("out"))
-
-    def step(acc, w):
-        cap = w.rlike(r"^\p{Lu}")
-        kind = F.element_at(F.array(F.lit("BUILDING"), F.lit("STREET"), F.lit("LOC")), F.length(w) % 3 + 1)
-        tag = F.when(~cap, "O").otherwise(F.concat(F.when(acc["cap"], "I-").otherwise("B-"), kind))
-        token = F.struct(w.alias("word"), tag.alias("entity"), ((F.size(acc["out"]) * 37 + F.length(w) * 11) % 100 / 100.0).alias("score"), acc["at"].alias("start"), (acc["at"] + F.length(w)).alias("end"))
-        return F.struct((acc["at"] + F.length(w) + 1).alias("at"), cap.alias("cap"), F.array_append(acc["out"], token).alias("out"))
+def flat_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Words of conversations with offsets; runs of capitalised ones are tagged, types by length.
 
-    return words.select("doc_id", "sent_idx", F.aggregate("ws", begin, step, lambda acc: acc["out"]).alias("tokens"))
+    The window is dealt by sentence, as are all operators on its result: they need no other shuffle.
+    """
+    line = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    words = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("sent_idx"), F.posexplode(F.split(line, " ")).alias("tok", "word"))
+    order = Window.partitionBy("doc_id", "sent_idx").orderBy("tok")
+    start = F.coalesce(F.sum(F.length("word") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    cap = F.col("word").rlike(r"^\p{Lu}")
+    rows = words.withColumns({"start": start, "cap": cap, "before": F.lag(cap, 1, False).over(order)})
+    kind = F.element_at(F.array(F.lit("BUILDING"), F.lit("STREET"), F.lit("LOC")), F.length("word") % 3 + 1)
+    tag = F.when(~F.col("cap"), "O").otherwise(F.concat(F.when(F.col("before"), "I-").otherwise("B-"), kind))
+    score = (F.col("tok") * 37 + F.length("word") * 11) % 100 / 100.0
+    return rows.select("doc_id", "sent_idx", "tok", "word", tag.alias("entity"), score.alias("score"), "start", (F.col("start") + F.length("word")).alias("end"))
 
 
-def flat_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return M.explode_tokens(tokens(spark, d))
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The same, one row a sentence."""
+    parts = F.sort_array(F.collect_list(F.struct("tok", "word", "entity", "score", "start", "end")))
+    bare = F.transform(parts, lambda t: F.struct(*[t[c].alias(c) for c in ("word", "entity", "score", "start", "end")]))
+    return flat_tokens(spark, d).groupBy("doc_id", "sent_idx").agg(bare.alias("tokens"))
 
 
 SPANS = f"""{TOKENS}, marked AS (SELECT *, CASE WHEN cap AND (NOT before OR split_part(lag(entity) OVER w, '-', 2) <> split_part(entity, '-', 2)) THEN 1 ELSE 0 END AS new FROM tokens WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY tok)),

@@ -18,6 +18,7 @@ from ..functions import tokens as K
 from ..operators import candidates as C
 from ..operators import linking as L
 from ..operators.mentions import explode_tokens, mentions, with_context
+from ..sources.tables import spread, written
 
 Tagger = Callable[[Column], Column]
 
@@ -104,14 +105,15 @@ class Pipeline:
 
     def recognise(self, sentences: DataFrame) -> DataFrame:
         """Mentions of sentences (doc_id, sent_idx, sentence, ...), with what their rows hold."""
-        tagged = sentences.withColumn("clean", T.normal_dashes(F.col("sentence"))).where("clean is not null")
+        tagged = spread(sentences).withColumn("clean", T.normal_dashes(F.col("sentence"))).where("clean is not null")
         tagged = tagged.withColumn("tokens", K.repair(self.tagger(F.col("clean")), F.col("clean")))
-        found = mentions(explode_tokens(tagged))
+        keep = [c for c in sentences.columns if c not in ("doc_id", "sent_idx")]
+        # a sentence's mentions are found by its row alone: all that it holds goes along as one value
+        tagged = tagged.withColumn("row", F.struct(*keep))
+        found = mentions(explode_tokens(tagged, ["doc_id", "sent_idx", "row"]), ["doc_id", "sent_idx", "row"])
         if self.drop_noise:
             found = found.where(T.is_mention(F.col("mention")))
-        keep = [c for c in sentences.columns if c not in ("doc_id", "sent_idx")]
-        out = found.select("doc_id", "sent_idx", "mention", F.col("ner_label").alias("tag"), F.col("start_char").alias("pos"), F.col("end_char").alias("end_pos"), "start_offset", "end_offset", "ner_score")
-        return out.join(sentences.select("doc_id", "sent_idx", *keep), ["doc_id", "sent_idx"])
+        return found.select("doc_id", "sent_idx", "mention", F.col("ner_label").alias("tag"), F.col("start_char").alias("pos"), F.col("end_char").alias("end_pos"), "start_offset", "end_offset", "ner_score", "row.*")
 
     def select_candidates(self, found: DataFrame) -> DataFrame:
         """(mention, variation, score, qid, relv, n) for the distinct mentions."""
@@ -141,7 +143,8 @@ class Pipeline:
         return L.with_place(linked, self.gazetteer, self.classes)
 
     def run(self, documents: DataFrame) -> DataFrame:
-        found = self.recognise(self.sentences(documents))
+        # mentions are few against texts and used twice: recognition runs once
+        found = written(self.recognise(self.sentences(documents)), "mentions")
         return self.link(found, self.select_candidates(found))
 
     def run_text(self, text: str, place: str = "", place_wqid: str = "") -> DataFrame:

@@ -10,10 +10,6 @@ from ..operators.candidates import drop_noisy_names, normalise_by_entity
 NAME = r"\p{Lu}\p{L}+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """(mention, qid, n) from JSON {mention: {entity: count}}."""
     nested = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,bigint>>").alias("m"))
