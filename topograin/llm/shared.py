@@ -1,52 +1,19 @@
-"""Helpers that the operators share: tables in the shared folder, sizes, bounded collects."""
+"""Helpers that the operators share."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_path, table, written
+
+__all__ = ["SPACE", "WORD", "remainder", "shared_path", "table", "written"]
+
 #: Characters that separate words: space and \t \n \v \f \r, as a Java and RE2 class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one for tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir("/tmp/checkpoints")
-        where = context.getCheckpointDir()
-    return where.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/topograin-{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and reread: the lineage ends there.
-
-    Lost executors only cost the tasks that they ran, and nondeterministic or dear steps
-    above run once however often the result is used.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
