@@ -28,6 +28,16 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def gram_vector(name: Column, size: int = 64, grams: int = 3) -> Column:
+    """A string as counts of its hashed character grams, of unit length; what no vectors have been
+    trained for can be matched by these."""
+    padded = F.concat(F.lit("#"), F.lower(name), F.lit("#"))
+    places = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (grams - 1))), lambda i: F.pmod(F.xxhash64(padded.substr(i, F.lit(grams))), F.lit(size)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(counts, lambda x: x / norm)
+
+
 def osa_distance(a: str, b: str) -> int:
     """Edits, with swaps of neighbours that are not edited again, between two strings."""
     two, one = [], list(range(len(b) + 1))

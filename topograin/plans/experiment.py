@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import coarse_tag
@@ -24,6 +25,26 @@ def scenarios(datasets: list[str], rankers: list[str], linkers: list[str], publi
         yield {"dataset": dataset, "ranker": ranker, "linker": linker, "publication": publ, "microtoponyms": micro, "name": name}
 
 
+def model_name(ranker: str, split: str, publication: bool = True, without_microtoponyms: bool = True, test: bool = False, num_candidates: int = 1, threshold: float = 50) -> str:
+    """The name under which a disambiguation model of these choices is kept."""
+    own = f"{ranker}+{num_candidates}+{threshold:g}" if ranker == "vectors" else ranker
+    return f"{own}_{split}{'+wpubl' * publication}{'+wmtops' * without_microtoponyms}{'_test' * test}"
+
+
+def save(tables: dict[str, DataFrame], path: str) -> None:
+    """Processed tables, each a Parquet folder under path."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+
+
+def load(spark: SparkSession, names: list[str], path: str) -> dict[str, DataFrame]:
+    """The tables that save wrote; none of them if one is not there."""
+    try:
+        return {n: spark.read.parquet(f"{path}/{n}.parquet") for n in names}
+    except AnalysisException:
+        return {}
+
+
 @dataclass
 class Experiment:
     """articles: (doc_id, text, split[, place, place_wqid]); gold: annotations (doc_id, sent_idx, a_pos, a_start, a_end,
