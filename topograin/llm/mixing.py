@@ -30,6 +30,8 @@ WEIGHTS, SHARE, MAX_REPEAT = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Knots (time, weight) for the sources of each weight: large ones lead, small ones follow.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 BUCKET_ROWS, BROADCAST_ROWS = 2_000, 100_000
+#: A column name that no table has.
+OWN = "__topograin_plan"
 
 
 def words(text: Column) -> Column:
@@ -114,11 +116,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
     """The documents that the mix takes, all columns, with mix_taken, mix_position and
-    mix_repeat_position, sorted by position. Rows that repeat an id and text stay repeated."""
+    mix_repeat_position, sorted by position. Columns of these names
+    that docs has are replaced. Rows that repeat an id and text stay repeated and share what is
+    taken of them; an empty table gives none."""
+    docs = docs.drop("mix_taken", "mix_position", "mix_repeat_position")
     plan = mix(docs, id_col, text_col, source_col, **params).where("taken > 0")
-    once = plan.groupBy("doc_id", "text_hash", "source").agg(F.sum("taken").alias("mix_taken"), F.min("position").alias("mix_position"), F.min("repeat_position").alias("mix_repeat_position"), F.count("*").alias("mix_rows"))
-    p = once.select(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), F.col("source").alias("p_source"), "mix_taken", "mix_position", "mix_repeat_position", "mix_rows")
-    key = docs[id_col].cast("long").eqNullSafe(p["p_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == p["p_hash"]) & docs[source_col].eqNullSafe(p["p_source"])
-    taken = F.floor(F.col("mix_taken") / F.col("mix_rows")).cast("long")
-    out = docs.join(p, key).withColumn("mix_taken", taken)
-    return out.select(*docs.columns, "mix_taken", "mix_position", "mix_repeat_position").orderBy("mix_position", id_col)
+    rows = plan.groupBy("doc_id", "text_hash", "source").agg(F.sum("taken").alias("taken"), F.min("position").alias("at"), F.min("repeat_position").alias("again"), F.count("*").alias("n"))
+    p = rows.select(F.struct("*").alias(OWN))
+    key = docs[id_col].cast("long").eqNullSafe(p[OWN]["doc_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == p[OWN]["text_hash"]) & docs[source_col].eqNullSafe(p[OWN]["source"])
+    own = F.col(OWN)
+    out = docs.join(p, key).select(*docs.columns, F.floor(own["taken"] / own["n"]).cast("long").alias("mix_taken"), own["at"].alias("mix_position"), own["again"].alias("mix_repeat_position"))
+    return out.orderBy("mix_position", id_col)

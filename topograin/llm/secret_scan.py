@@ -31,6 +31,8 @@ OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
 KINDS = [*BASE, "opaque"]
 MAX_OWNERS, MAX_REPOSITORIES, DISTINCT_CHARS = 1, 3, 6
 REDACTED = "[REDACTED]"
+#: A column name that no table has.
+OWN = "__topograin_live"
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string,varied:boolean>>"
 
 
@@ -107,10 +109,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     Widely copied examples stay. Texts without any candidate are not shuffled.
     """
     found = scan(docs, id_col, text_col, **params).where(F.size("live") > 0)
-    live = found.groupBy("doc_id", "text_hash").agg(F.first("live").alias("live")).select(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash"), "live")
+    live = found.groupBy("doc_id", "text_hash").agg(F.first("live").alias(OWN)).select(F.col("doc_id").alias(f"{OWN}_id"), F.col("text_hash").alias(f"{OWN}_hash"), OWN)
     text = F.col(text_col)
     maybe = docs.where(has_candidate(text))
-    key = maybe[id_col].cast("long").eqNullSafe(F.col("l_id")) & (F.xxhash64(F.coalesce(maybe[text_col], F.lit(""))) == F.col("l_hash"))
+    key = maybe[id_col].cast("long").eqNullSafe(F.col(f"{OWN}_id")) & (F.xxhash64(F.coalesce(maybe[text_col], F.lit(""))) == F.col(f"{OWN}_hash"))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -118,8 +120,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         cut = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(REDACTED))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(ahead, cut).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("live", begin, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    cleaned = maybe.join(live, key, "left").withColumn(text_col, F.when(F.col("live").isNotNull(), clean).otherwise(text))
+    clean = F.aggregate(OWN, begin, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    cleaned = maybe.join(live, key, "left").withColumn(text_col, F.when(F.col(OWN).isNotNull(), clean).otherwise(text))
     if size_col in docs.columns:
-        cleaned = cleaned.withColumn(size_col, F.when(F.col("live").isNotNull(), F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
+        cleaned = cleaned.withColumn(size_col, F.when(F.col(OWN).isNotNull(), F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
     return docs.where(~has_candidate(text)).unionByName(cleaned.select(*docs.columns))
