@@ -122,6 +122,16 @@ def test_short_blocks_inherit_from_neighbours():
     assert "more" not in html_text.main_text(page) and "2020" not in html_text.main_text(page)
 
 
+def test_other_templates():
+    long_ = "The first of the paragraphs is about this and that, and it goes on for long enough to be taken as good text by all of the rules."
+    page = f'<body><div class="site-header">Name</div><div id="post-12" class="entry"><h2>Head</h2><div><p>xq zv</p></div><p>{long_}</p><div class="comments"><p>{long_}</p></div></div><div class="related"><p>{long_}</p></div><p>tail</p></body>'
+    assert html_text.main_text(page) == f"Head\n\nxq zv\n\n{long_}"
+    page = '<main><h1>A</h1><p>b</p></main><article class="comment"><p>c</p><article class="comment">d</article>e</article><article>f</article>'
+    assert html_text.main_text(page) == "A\n\nb\n\nf"
+    page = f'<body><div class="alert">n</div><p>{long_}<div style="display: none">h</div><p>zz</p></body>'
+    assert html_text.main_text(page) == f"{long_}\n\nzz"
+
+
 # 4
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -4,8 +4,8 @@ A page is cut into blocks at block-level tags. The first pass classifies each bl
 own: what stands in a menu, header, footer, sidebar, notice, advert, form or comment
 thread is bad, as is a block that is mostly links; a block in the page's article, or one that is
 long with enough stop words, is good; all else is ambiguous. In the second pass an ambiguous
-block takes the label of the nearest decided blocks before and after it: good where both
-agree or where the nearer of them is good. A page without any decided block keeps what
+block takes the label of the nearest blocks before and after it that were decided by
+their text: good where both agree or where the nearer of them is good. A page without any decided block keeps what
 is not bad.
 
 Plan. Pages are independent: one streaming pass, no shuffle, no limit on length.
@@ -41,6 +41,9 @@ MARKS = frozenset(
     " share sharing social follow dialog".split()
 )
 HEADER_MARKS = frozenset("header masthead siteheader".split())
+THREAD_MARKS = frozenset("comment comments commentlist disqus respond replies".split())
+#: Words of class, id, role and itemprop that mark the article of a page without such elements.
+BODY_MARKS = frozenset("article post entry story main".split())
 #: Frequent words of some languages.
 STOP_WORDS = frozenset(
     "a about after all also an and are as at be been but by can could did do for from had has have he her his how i if in into is it its more no not of on one only or other our out she so some such than that the their them then there these they this to up was we were what when which who will with would you your"
@@ -52,6 +55,7 @@ LONG, SHORT_STOPS, MIN_STOPS, LINKS, ARTICLE_LINKS = 140, 3, 0.15, 0.5, 0.8
 
 _TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|$))|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|<[!?/][^>]*(?:>|$)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HAS_ARTICLE = re.compile(r"<(?:article|main)[\s>]", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -81,9 +85,15 @@ def _marked(attributes: str, article: bool) -> bool:
     return False
 
 
+def _words(attributes: str) -> set[str]:
+    return {w.lower() for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role", "itemprop") for w in _WORD.findall(m[2] or m[3] or m[4] or "")}
+
+
 def parse(page: str) -> list[Block]:
     """The blocks of a page in order, those without text left out."""
     out: list[Block] = []
+    bare = not _HAS_ARTICLE.search(page)
+    body: list = []  # [tag, open tags of that name] of the element that stands for an article
     now = Block()
     outside: list[list] = []  # [tag, open tags of that name]
     article = links = 0
@@ -136,7 +146,8 @@ def parse(page: str) -> list[Block]:
             links = 0 if tag != "a" else links
             heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
             item = (item and tag not in ("ul", "ol", "p", "article", "main")) if closing else (tag == "li" or item and tag not in ("p", "article", "main"))
-        if tag in ARTICLE:
+        held = bool(outside) and outside[-1][0] == tag
+        if tag in ARTICLE and not held and not (attributes and not closing and _words(attributes) & THREAD_MARKS):
             if not closing:
                 # an article never lies in what has been left open before it, a comment thread aside
                 if not any(x[2] for x in outside):
@@ -146,18 +157,23 @@ def parse(page: str) -> list[Block]:
                 article = max(0, article - 1)
                 outside = [x for x in outside if x[3] <= article]
         elif closing:
-            if outside and outside[-1][0] == tag:
+            if held:
                 outside[-1][1] -= 1
                 if not outside[-1][1]:
                     outside.pop()
-            elif tag in ("body", "html"):
-                pass
+            if body and body[0] == tag:
+                body[1] -= 1
+                if not body[1]:
+                    body, article = [], 0
         elif tag not in VOID and not attributes.rstrip().endswith("/"):
-            if outside and outside[-1][0] == tag:
+            if body and body[0] == tag:
+                body[1] += 1
+            if held:
                 outside[-1][1] += 1
             elif tag not in ("body", "html") and (tag in OUTSIDE or tag == "header" and not article or attributes and _marked(attributes, article > 0)):
-                thread = bool({w.lower() for w in _WORD.findall(attributes)} & {"comment", "comments", "commentlist", "disqus", "respond", "replies"})
-                outside.append([tag, 1, thread, article])
+                outside.append([tag, 1, bool(_words(attributes) & THREAD_MARKS), article])
+            elif bare and not body and not outside and tag in ("div", "section", "td") and attributes and _words(attributes) & BODY_MARKS:
+                body, article = [tag, 1], 1
     end()
     return out
 
@@ -204,12 +220,12 @@ def classify(blocks: list[Block]) -> list[bool]:
     seen = None
     for i, m in enumerate(marks):
         before.append(seen)
-        if m is not None:
+        if m is not None and not blocks[i].outside:
             seen = (i, m)
     out, seen = list(marks), None
     for i in range(len(marks) - 1, -1, -1):
         if marks[i] is not None:
-            seen = (i, marks[i])
+            seen = seen if blocks[i].outside else (i, marks[i])
             continue
         near = [(abs(x[0] - i), not x[1]) for x in (before[i], seen) if x]
         out[i] = not min(near)[1]
