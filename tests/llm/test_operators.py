@@ -159,6 +159,14 @@ def test_base_spans_are_brute_force(spark, sf):
             assert [(s.start, s.rank, s.kind, s.end) for s in r.base] == base_spans(texts[r.doc_id, r.text_hash]), r
 
 
+def test_texts_with_more_matches_than_a_fold(spark):
+    text = "é😀 ".join(f"password={i:08d} {i:032x} AKIA{i:012d}" for i in range(2 * secret_scan.FOLD))
+    got = secret_scan.scan(odd(spark, [text], ["src0"])).collect()
+    assert max(len(r.base) for r in got) == 6 * secret_scan.FOLD
+    for r in got:
+        assert [(s.start, s.rank, s.kind, s.end) for s in r.base] == (base_spans(text) if r.base else [])
+
+
 def test_ownership_separates_copies_from_live_secrets(spark):
     docs = odd(spark, SECRETS, ["src0", None, "a", "b", "c", "d", "e", "f", "g", "h"])
     got = {r.doc_id: r for r in secret_scan.scan(docs).collect() if r.doc_id is not None}

@@ -30,6 +30,8 @@ BASE = {
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
 KINDS = [*BASE, "opaque"]
 MAX_OWNERS, MAX_REPOSITORIES, DISTINCT_CHARS = 1, 3, 6
+#: Matches of a text that one fold runs over.
+FOLD = 128
 REDACTED = "[REDACTED]"
 #: A column name that no table has.
 OWN = "__topograin_live"
@@ -37,19 +39,38 @@ _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string,varied
 
 
 def _spans(text: Column, matches: Column, values: Column, pattern: str, kind: str, least: int) -> Column:
-    """Spans, in code points, of those matches whose value has at least `least` characters."""
-    pieces = F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        value = F.element_at(values, i)
-        start = acc["at"] + F.length(F.element_at(pieces, i))
-        end = start + F.length(F.element_at(matches, i))
+    """Spans, in code points, of those matches whose value has at least `least` characters.
+
+    Pieces, matches and values are arguments of higher-order functions, which are evaluated once;
+    inside a function they would be evaluated again for each match. A fold copies what it
+    has gathered at each step, so it runs over `FOLD` matches, and sums of those move its spans."""
+    none = F.array().cast(_SPAN)
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["piece"])
+        end = start + F.length(x["match"])
+        value = x["value"]
         varied = F.size(F.array_distinct(F.split(value, ""))) >= DISTINCT_CHARS
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), F.md5(value.cast("binary")).alias("value"), varied.alias("varied"))
         return F.struct(end.alias("at"), F.when(F.length(value) >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(1), F.size(matches)), begin, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    def fold(zipped: Column) -> Column:
+        first = F.sequence(F.lit(1), F.size(matches), F.lit(FOLD))
+        return F.transform(first, lambda i: F.aggregate(F.slice(zipped, i, F.least(F.lit(FOLD), F.size(matches) - i + 1)), F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+
+    def moved(folds: Column) -> Column:
+        ends = F.aggregate(F.transform(folds, lambda f: f["at"]), F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+        by = lambda n: lambda s: s.withField("start", s["start"] + n).withField("end", s["end"] + n)
+        return F.flatten(F.transform(F.arrays_zip(folds.alias("f"), ends.alias("n")), lambda x: F.when(x["f"].isNull(), none).otherwise(F.transform(x["f"]["out"], by(x["n"])))))
+
+    # one piece more than there are matches: that after the last
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), matches.alias("match"), values.alias("value"))
+    return F.when(F.size(matches) > 0, F.flatten(_once(F.flatten(_once(zipped, lambda z: fold(z))), lambda f: moved(f)))).otherwise(none)
+
+
+def _once(value: Column, use) -> Column:  # noqa: ANN001
+    """An array of one item, what `use` makes of a value that is evaluated once."""
+    return F.transform(F.array(value), use)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repository: Column | None = None) -> DataFrame:
