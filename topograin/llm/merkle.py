@@ -167,7 +167,7 @@ def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [tree(t) for t in batch.column(1).to_pylist()]
+            made = [tree(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.root for t in made], pa.string()), *[pa.array([[x[0].hex() for x in getattr(t, k)] for t in made], pa.list_(pa.string())) for k in ("sections", "paragraphs")]], ["doc_id", "fingerprint", "sections", "paragraphs"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -220,9 +220,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         over = False
         for batch in batches:
             out = []
-            for late, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for k in range(batch.num_rows):  # a text at a time, not all of a batch
                 if over:
                     break
+                late, doc_id, text = (batch.column(i)[k].as_py() for i in range(3))
                 made = tree(text)
                 if last:
                     out.append(row(*last, text, made))
