@@ -16,12 +16,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, takewhile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 PASSAGE, HASHED, HIDDEN, ATTENTION = 64, 64, 24, 12
 TRAIN_DOCS, TRAIN_CHARS, STEPS, THRESHOLD = 2000, 16_000_000, 250, 0.3
 #: Bytes that are encoded at a time; longer texts are cut at a space, passages start anew there.
@@ -207,11 +210,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     sample = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(sample), "doc_id")
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
-    size = rows.select("doc_id", "label", "text", F.sum(F.length("text")).over(order).alias("sum"), F.row_number().over(order).alias("n"))
-    rows = size.where((F.col("sum") <= train_chars) & (F.col("n") <= train_docs)).select("n", "label", F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    kept = written(rows, "labelled").select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    # sizes alone are ordered: no task and not the driver holds the texts of the sample
+    first = kept.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"), F.length("text").alias("size"), "file", "row").orderBy("h", "doc_id", "t", "file", "row").limit(train_docs).collect()
+    fits = takewhile(lambda x: x[1] <= train_chars, zip(first, accumulate(r["size"] for r in first)))
+    chosen = [(n, r.file, r.row) for n, (r, _) in enumerate(fits, 1)]
+    if not chosen:
+        return None
+    place = F.broadcast(docs.sparkSession.createDataFrame(chosen, "n int, file string, row long"))
+    rows = kept.join(place, ["file", "row"]).select("n", "label", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,8 +228,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([r.tobytes() for r in x], pa.binary())], ["n", "label", "x"])
 
     got = rows.mapInArrow(run, "n int, label int, x binary").toArrow()
-    if not got.num_rows:
-        return None
     n, y = got["n"].to_numpy(), got["label"].to_numpy()
     order = np.argsort(n, kind="stable")
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(len(n), -1)[order]
