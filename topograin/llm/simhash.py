@@ -251,7 +251,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Of rows that share that id within the component one stays.
     """
-    found = near_duplicates(docs, id_col, text_col, **params)
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, **params), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of found (doc_id, text_hash, root, component_id)."""
     best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = written(best.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), F.count("*").alias("n")).select("x.*", "n"), "kept")
     key = [docs[id_col].cast("long").eqNullSafe(F.col("k.doc_id")), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("k.text_hash")]
