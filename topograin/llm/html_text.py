@@ -5,7 +5,7 @@ own: what stands in a menu, header, footer, sidebar, notice, advert, form or com
 thread is bad, as is a block that is mostly links; a block in the page's article, or one that is
 long with enough stop words, is good; all else is ambiguous. In the second pass an ambiguous
 block takes the label of the nearest blocks before and after it that were decided by
-their text: good where both agree or where the nearer of them is good. A page without any decided block keeps what
+their text: good where both agree or where the nearer of them is good, an article beside it counting as bad. A page without any decided block keeps what
 is not bad.
 
 Plan. Pages are independent: one streaming pass, no shuffle, no limit on length.
@@ -28,6 +28,7 @@ RAW = frozenset("script style noscript template iframe noembed noframes textarea
 LITERAL = frozenset("script style iframe noembed noframes textarea title xmp".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 ARTICLE = frozenset("article main".split())
+CLOSED = frozenset("aside nav footer".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role that mark what is no article.
 MARKS = frozenset(
@@ -118,6 +119,11 @@ def parse(page: str) -> list[Block]:
             now.heading |= heading
             now.item |= item
 
+    def closed(x: list) -> bool:
+        if x[4] is None:
+            x[4] = _closes(page, x[0], x[1], at)
+        return x[4]
+
     at = 0
     while True:
         m = _TAG.search(page, at)
@@ -149,8 +155,8 @@ def parse(page: str) -> list[Block]:
         held = bool(outside) and outside[-1][0] == tag
         if tag in ARTICLE and not held and not (attributes and not closing and _words(attributes) & THREAD_MARKS):
             if not closing:
-                # an article never lies in what has been left open before it, a comment thread aside
-                if not any(x[2] for x in outside):
+                # an article never lies in what has been left open before it, a comment thread or what is closed behind it aside
+                if not any(x[2] or x[0] in CLOSED and closed(x) for x in outside):
                     outside = []
                 article += 1
             else:
@@ -171,13 +177,22 @@ def parse(page: str) -> list[Block]:
             if held:
                 outside[-1][1] += 1
             elif tag not in ("body", "html") and (tag in OUTSIDE or tag == "header" and not article or attributes and _marked(attributes, article > 0)):
-                outside.append([tag, 1, bool(_words(attributes) & THREAD_MARKS), article])
+                outside.append([tag, 1, bool(_words(attributes) & THREAD_MARKS), article, None])
             elif bare and not body and not outside and tag in ("div", "section", "td") and attributes and _words(attributes) & BODY_MARKS:
                 body, article = [tag, 1], 1
     end()
     return out
 
 
+def _closes(page: str, tag: str, depth: int, at: int) -> bool:
+    """True if an element, open at that depth of its name, is closed after this place."""
+    for m in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
+        if not depth:
+            return True
+    return False
+
+
 def _after(page: str, tag: str, at: int) -> int:
     """Where the element's end tag ends; nested elements of the name count unless its text is literal."""
     if tag == "head":
@@ -199,21 +214,19 @@ def _after(page: str, tag: str, at: int) -> int:
 def classify(blocks: list[Block]) -> list[bool]:
     """True for the blocks of the main text."""
     marks: list[bool | None] = []
-    whole = any(b.article and not b.outside for b in blocks)
     for b in blocks:
         chars = max(1, len("".join(b.text.split())))
         density = b.linked / chars
         if b.outside:
             marks.append(False)
-        elif b.article:
-            marks.append(not (b.item and density > ARTICLE_LINKS))
-        elif whole or density > LINKS or b.text.startswith(("©", "(c) ", "Copyright ")):
+        elif density > (ARTICLE_LINKS if b.article else LINKS) and (b.item or not b.article) or not b.article and b.text.startswith(("©", "(c) ", "Copyright ")):
             marks.append(False)
         else:
             words = b.text.lower().split()
             stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words)
             good = len(b.text) >= LONG and stops / len(words) >= MIN_STOPS or len(b.text) >= LONG / 2 and stops >= SHORT_STOPS and not b.linked
-            marks.append(True if good and not b.heading else None)
+            # where the rules leave it open, an article's block is good
+            marks.append(True if b.article or good and not b.heading else None)
     if all(m is None or m is False for m in marks):
         return [m is None for m in marks]
     before: list[tuple[int, bool] | None] = []
@@ -221,11 +234,11 @@ def classify(blocks: list[Block]) -> list[bool]:
     for i, m in enumerate(marks):
         before.append(seen)
         if m is not None and not blocks[i].outside:
-            seen = (i, m)
+            seen = (i, m and not blocks[i].article)
     out, seen = list(marks), None
     for i in range(len(marks) - 1, -1, -1):
         if marks[i] is not None:
-            seen = seen if blocks[i].outside else (i, marks[i])
+            seen = seen if blocks[i].outside else (i, marks[i] and not blocks[i].article)
             continue
         near = [(abs(x[0] - i), not x[1]) for x in (before[i], seen) if x]
         out[i] = not min(near)[1]
