@@ -1,12 +1,17 @@
 """HTML main-text extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass classifies each block on its
-own: what stands in a menu, header, footer, sidebar, notice, advert, form or comment
-thread is bad, as is a block that is mostly links; a block in the page's article, or one that is
-long with enough stop words, is good; all else is ambiguous. In the second pass an ambiguous
-block takes the label of the nearest blocks before and after it that were decided by
-their text: good where both agree or where the nearer of them is good, an article beside it counting as bad. A page without any decided block keeps what
-is not bad.
+A page is cut into blocks at block-level tags. Structure marks the candidates: what stands in a
+menu, header, footer, sidebar, notice, advert, form or comment thread is bad, and an
+article or main element, or what stands for one, is a region of its own. The rules decide.
+The first pass classifies each block by itself: one that is mostly links is bad; one that
+is long with enough stop words, or of middle length with some and without links, is good; all else,
+headings and long blocks without stop words among it, is ambiguous. In the second pass an
+ambiguous block takes its label from the nearest decided blocks before and after it. In a
+region a good one on either side is enough, and none outside it counts. Beside articles both
+must agree or the nearer be good, and an article counts as bad. In a region without a good block the
+ambiguous ones are judged together, as one block: bad if more than half of its text is links and too few
+words are stop words, else good, for nothing else says that an article's text is none.
+A page without regions and decided blocks keeps what is not bad.
 
 Plan. Pages are independent: one streaming pass, no shuffle, no limit on length.
 """
@@ -30,17 +35,22 @@ OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 ARTICLE = frozenset("article main".split())
 CLOSED = frozenset("aside nav footer".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role that mark what is no article.
+#: Words of class, id and role that mark what is no article, whatever stands beside them.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted teaser"
+    "advert adverts advertisement advertising adsense sponsored teaser"
     " nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar topbar"
-    " footer contentinfo copyright legal disclaimer colophon"
-    " sidebar aside complementary widget widgets rail related recommended recommendations trending popular"
-    " cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay lightbox paywall"
-    " newsletter subscribe subscription signup login search searchbox form"
-    " comment comments commentlist disqus respond replies reply discussion"
-    " share sharing social follow dialog".split()
+    " footer contentinfo copyright disclaimer colophon sidebar complementary"
+    " cookie cookies gdpr notification notifications popup modal overlay lightbox paywall newsletter signup login searchbox"
+    " comment comments commentlist disqus respond replies".split()
 )
+#: Words that do so only alone, or among such words and those of places.
+WEAK_MARKS = frozenset(
+    "ad ads adv banner sponsor promo promotion promoted legal aside widget widgets rail related recommended recommendations trending popular"
+    " consent notice notices alert subscribe subscription search form reply discussion share sharing social follow dialog".split()
+)
+PLACES = frozenset("box boxes block blocks area slot unit container wrapper wrap inner outer section list links link items item posts post articles article stories story news content bar buttons button icons panel card cards left right top bottom header head title site page main global mobile desktop sticky fixed group row col column text html js".split())
+#: Words that turn a mark round, as in no-sidebar.
+WITHOUT = frozenset("no not has have with without hide hidden".split())
 HEADER_MARKS = frozenset("header masthead siteheader".split())
 THREAD_MARKS = frozenset("comment comments commentlist disqus respond replies".split())
 #: Words of class, id, role and itemprop that mark the article of a page without such elements.
@@ -57,6 +67,7 @@ LONG, SHORT_STOPS, MIN_STOPS, LINKS, ARTICLE_LINKS = 140, 3, 0.15, 0.5, 0.8
 _TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|$))|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|<[!?/][^>]*(?:>|$)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HAS_ARTICLE = re.compile(r"<(?:article|main)[\s>]", re.I)
+_LETTERS = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -66,6 +77,7 @@ class Block:
     linked: int = 0
     outside: bool = False
     article: bool = False
+    region: int = 0
     heading: bool = False
     item: bool = False
     text: str = ""
@@ -80,9 +92,12 @@ def _marked(attributes: str, article: bool) -> bool:
         if name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
         if name in ("class", "id", "role"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & MARKS or not article and words & HEADER_MARKS:
-                return True
+            for part in value.split():
+                words = {w.lower() for w in _WORD.findall(part)}
+                if words & WITHOUT:
+                    continue
+                if words & MARKS or not article and words & HEADER_MARKS or words & WEAK_MARKS and all(w in WEAK_MARKS or w in PLACES or w.isdigit() for w in words):
+                    return True
     return False
 
 
@@ -97,7 +112,7 @@ def parse(page: str) -> list[Block]:
     body: list = []  # [tag, open tags of that name] of the element that stands for an article
     now = Block()
     outside: list[list] = []  # [tag, open tags of that name]
-    article = links = 0
+    article = links = region = 0
     heading = item = False
 
     def end() -> None:
@@ -116,6 +131,7 @@ def parse(page: str) -> list[Block]:
                 now.linked += len("".join(text.split()))
             now.outside |= bool(outside)
             now.article |= article > 0
+            now.region = region if article else now.region
             now.heading |= heading
             now.item |= item
 
@@ -138,7 +154,7 @@ def parse(page: str) -> list[Block]:
             continue
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in RAW and not closing:
-            at = _after(page, tag, at)
+            at = _after(page, tag, at, attributes.rstrip().endswith("/"))
             if tag not in ("button", "select", "textarea"):
                 continue
             put(" ")
@@ -158,6 +174,7 @@ def parse(page: str) -> list[Block]:
                 # an article never lies in what has been left open before it, a comment thread or what is closed behind it aside
                 if not any(x[2] or x[0] in CLOSED and closed(x) for x in outside):
                     outside = []
+                region += article == 0
                 article += 1
             else:
                 article = max(0, article - 1)
@@ -180,6 +197,7 @@ def parse(page: str) -> list[Block]:
                 outside.append([tag, 1, bool(_words(attributes) & THREAD_MARKS), article, None])
             elif bare and not body and not outside and tag in ("div", "section", "td") and attributes and _words(attributes) & BODY_MARKS:
                 body, article = [tag, 1], 1
+                region += 1
     end()
     return out
 
@@ -193,8 +211,12 @@ def _closes(page: str, tag: str, depth: int, at: int) -> bool:
     return False
 
 
-def _after(page: str, tag: str, at: int) -> int:
-    """Where the element's end tag ends; nested elements of the name count unless its text is literal."""
+def _after(page: str, tag: str, at: int, empty: bool = False) -> int:
+    """Where the element's end tag ends; nested elements of the name count unless its text is
+    literal. An element that closes itself, or is never closed, holds nothing unless its text is literal."""
+    if empty and tag not in LITERAL:
+        return at
+    begin = at
     if tag == "head":
         m = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
         if m is None:
@@ -205,61 +227,97 @@ def _after(page: str, tag: str, at: int) -> int:
     while depth:
         m = find.search(page, at)
         if m is None:
-            return len(page)
+            return len(page) if tag in LITERAL else begin
         at = m.end()
         depth += -1 if m[1] else (0 if tag in LITERAL or m[0].endswith("/>") else 1)
     return at
 
 
-def classify(blocks: list[Block]) -> list[bool]:
+def _stops(text: str, stop_words: frozenset[str]) -> tuple[int, int]:
+    """Stop words and words. Words of other scripts than the stop words' count as stop words."""
+    words = _LETTERS.findall(text.lower())
+    return sum(w in stop_words or w[0] >= "\u0370" for w in words), len(words)
+
+
+def first_pass(b: Block, stop_words: frozenset[str] = STOP_WORDS) -> bool | None:
+    """What a block is by itself: good, bad, or None."""
+    density = b.linked / max(1, len("".join(b.text.split())))
+    if b.outside:
+        return False
+    if density > (ARTICLE_LINKS if b.article else LINKS) and (b.item or not b.article):
+        return False
+    if not b.article and b.text.startswith(("©", "(c) ", "Copyright ")):
+        return False
+    stops, words = _stops(b.text, stop_words)
+    good = len(b.text) >= LONG and stops >= MIN_STOPS * max(1, words) or len(b.text) >= LONG / 2 and stops >= SHORT_STOPS and not b.linked
+    return True if good and not b.heading else None
+
+
+def classify(blocks: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> list[bool]:
     """True for the blocks of the main text."""
-    marks: list[bool | None] = []
-    for b in blocks:
-        chars = max(1, len("".join(b.text.split())))
-        density = b.linked / chars
-        if b.outside:
-            marks.append(False)
-        elif density > (ARTICLE_LINKS if b.article else LINKS) and (b.item or not b.article) or not b.article and b.text.startswith(("©", "(c) ", "Copyright ")):
-            marks.append(False)
-        else:
-            words = b.text.lower().split()
-            stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words)
-            good = len(b.text) >= LONG and stops / len(words) >= MIN_STOPS or len(b.text) >= LONG / 2 and stops >= SHORT_STOPS and not b.linked
-            # where the rules leave it open, an article's block is good
-            marks.append(True if b.article or good and not b.heading else None)
-    if all(m is None or m is False for m in marks):
+    marks = [first_pass(b, stop_words) for b in blocks]
+    regions = {b.region: [] for b in blocks if b.article and not b.outside}
+    for i, b in enumerate(blocks):
+        if b.region in regions and not b.outside:
+            regions[b.region].append(i)
+    out = list(marks)
+    for held in regions.values():
+        _inherit_in_region(blocks, marks, held, out, stop_words)
+    beside = [i for i, b in enumerate(blocks) if b.region not in regions or b.outside]
+    if not regions and not any(marks):
         return [m is None for m in marks]
-    before: list[tuple[int, bool] | None] = []
-    seen = None
-    for i, m in enumerate(marks):
-        before.append(seen)
-        if m is not None and not blocks[i].outside:
-            seen = (i, m and not blocks[i].article)
-    out, seen = list(marks), None
-    for i in range(len(marks) - 1, -1, -1):
-        if marks[i] is not None:
-            seen = seen if blocks[i].outside else (i, marks[i] and not blocks[i].article)
-            continue
-        near = [(abs(x[0] - i), not x[1]) for x in (before[i], seen) if x]
-        out[i] = not min(near)[1]
+    for i in beside:
+        if marks[i] is None:
+            # nearest decided by their text; a region is one good block that counts as bad
+            near = []
+            for step in (-1, 1):
+                k = i + step
+                while 0 <= k < len(blocks) and (blocks[k].outside or marks[k] is None and blocks[k].region not in regions):
+                    k += step
+                if 0 <= k < len(blocks):
+                    near.append((abs(k - i), blocks[k].region in regions or not marks[k]))
+            out[i] = bool(near) and not min(near)[1]
     return [bool(x) for x in out]
 
 
-def main_text(page: str | None) -> str:
+def _inherit_in_region(blocks: list[Block], marks: list[bool | None], held: list[int], out: list[bool | None], stop_words: frozenset[str]) -> None:
+    """Labels of the ambiguous blocks of a region, whose places are held."""
+    open_ = [i for i in held if marks[i] is None]
+    if not any(marks[i] for i in held):
+        text = " ".join(blocks[i].text for i in open_)
+        stops, words = _stops(text, stop_words)
+        linked = sum(blocks[i].linked for i in open_) > LINKS * len("".join(text.split()))
+        for i in open_:
+            out[i] = not linked or stops >= MIN_STOPS * max(1, words)
+        return
+    ahead, seen = {}, None
+    for i in reversed(held):
+        ahead[i] = seen
+        seen = seen if marks[i] is None else marks[i]
+    seen = None
+    for i in held:
+        if marks[i] is None:
+            out[i] = bool(seen or ahead[i])
+        else:
+            seen = marks[i]
+
+
+def main_text(page: str | None, stop_words: frozenset[str] = STOP_WORDS) -> str:
     """The article of a page: its blocks, in order, with an empty line between."""
     blocks = parse(page or "")
-    return "\n\n".join(b.text for b, good in zip(blocks, classify(blocks)) if good)
+    return "\n\n".join(b.text for b, good in zip(blocks, classify(blocks, stop_words)) if good)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
     """(page_id, url, text, n_chars) per row; a null or empty page has an empty text.
 
     Repeated rows stay; other columns are not read. Broken markup ends where the page does.
+    stop_words, in lower case, are those of the pages' languages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p) for p in batch.column(2).to_pylist()]
+            texts = [main_text(p.as_py(), stop_words) for p in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
