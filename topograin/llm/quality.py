@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,7 @@ _CLASS = np.full(256, 7, np.int64)  # other ASCII
 _CLASS[128:] = 6
 for _i, _chars in enumerate((bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789", b".,;:'\"-()", b"!?", _SPACES)):
     _CLASS[list(_chars)] = _i
-_CLASS[ord("|")] = 8
-_CLASSES, _WORD_STATS = 9, 9
+_CLASSES, _WORD_STATS = 8, 9
 FEATURES = _CLASSES + _WORD_STATS + HASHED + 1
 _RADIX = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
@@ -92,7 +90,7 @@ def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         average = mean(length)
         stats = np.stack([
             average, np.sqrt(np.maximum(0, mean(length**2) - average**2)), np.bincount(passage[order][run], minlength=n) / per, (most - 1) / per,
-            mean(a == 1), mean(b == 3), mean(b >= 7), mean((length == 1) & (a == 8)), np.minimum(1, per / PASSAGE),
+            mean(a == 1), mean(b == 3), mean(b >= 7), mean((length == 1) & (a >= 7)), np.minimum(1, per / PASSAGE),
         ], axis=1)
         bag = np.bincount(passage * HASHED + (h % np.uint64(HASHED)).astype(np.int64), minlength=n * HASHED).reshape(n, HASHED) / per[:, None]
         full = np.concatenate([counts / counts.sum(axis=1, keepdims=True), stats, bag, np.zeros((n, 1))], axis=1).astype(np.float32)
@@ -172,6 +170,22 @@ class Model:
         return np.concatenate([self.score(x, own) for x, own in bags(texts)]) if texts else np.zeros(0)
 
 
+def gradient(model: Model, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy of the bags' labels y, and its gradient by parameter; x standardised."""
+    p, n = model.p, np.diff(np.r_[starts, len(x)])
+    h, t, g, a, z, s = model.forward(x, starts)
+    ds = ((s - y) / len(y)).astype(x.dtype)
+    far = np.repeat(ds[:, None] * p["c"], n, axis=0)
+    dh = far * a[:, None]
+    da = (far * h).sum(axis=1)
+    de = a * (da - np.repeat(np.add.reduceat(a * da, starts), n))
+    dt, dg = de[:, None] * p["w"] * g * (1 - t * t), de[:, None] * p["w"] * t * g * (1 - g)
+    dh += dt @ p["V"].T + dg @ p["U"].T
+    dq = dh * (1 - h * h)
+    loss = -float(np.mean(y * np.log(s + 1e-30) + (1 - y) * np.log(1 - s + 1e-30)))
+    return loss, {"W": x.T @ dq, "b": dq.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ ds, "d": ds.sum(keepdims=True)}
+
+
 def train(x: np.ndarray, own: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 7) -> Model:
     """x, own: passages and their bags, in order; y: a 0/1 label for each bag."""
     rng = np.random.default_rng(seed)
@@ -180,20 +194,9 @@ def train(x: np.ndarray, own: np.ndarray, y: np.ndarray, steps: int = STEPS, see
     model = Model(x.mean(axis=0), x.std(axis=0) + 0.05, p)
     x = (x - model.mean) / model.scale
     starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    n = np.diff(np.r_[starts, len(x)])
     m, v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        h, t, g, a, z, s = model.forward(x, starts)
-        ds = ((s - y) / len(y)).astype(np.float32)
-        dz = ds[:, None] * p["c"]
-        far = np.repeat(dz, n, axis=0)
-        dh = far * a[:, None]
-        da = (far * h).sum(axis=1)
-        de = a * (da - np.repeat(np.add.reduceat(a * da, starts), n))
-        dt, dg = de[:, None] * p["w"] * g * (1 - t * t), de[:, None] * p["w"] * t * g * (1 - g)
-        dh += dt @ p["V"].T + dg @ p["U"].T
-        dq = dh * (1 - h * h)
-        grad = {"W": x.T @ dq, "b": dq.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ ds, "d": ds.sum(keepdims=True)}
+        _, grad = gradient(model, x, starts, y)
         for k, w in p.items():
             d = grad[k] + (1e-4 * w if w.ndim == 2 else 0)
             m[k] += 0.1 * (d - m[k])
@@ -205,8 +208,9 @@ def train(x: np.ndarray, own: np.ndarray, y: np.ndarray, steps: int = STEPS, see
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, steps: int = STEPS) -> Model | None:
     """A model from labelled rows; labels: (id, label 0/1), null ids and labels aside.
 
-    The sample is the first train_docs labelled ids by hash, cut where train_chars is
-    reached. None where no labelled document is there.
+    The sample is the first train_docs labelled ids by hash; of their texts, in that order, each
+    that still fits into train_chars is taken and longer ones are passed over. Where none
+    fits the shortest is taken. None only where no labelled document is there.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     sample = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
@@ -214,10 +218,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kept = written(rows, "labelled").select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     # sizes alone are ordered: no task and not the driver holds the texts of the sample
     first = kept.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"), F.length("text").alias("size"), "file", "row").orderBy("h", "doc_id", "t", "file", "row").limit(train_docs).collect()
-    fits = takewhile(lambda x: x[1] <= train_chars, zip(first, accumulate(r["size"] for r in first)))
-    chosen = [(n, r.file, r.row) for n, (r, _) in enumerate(fits, 1)]
-    if not chosen:
+    if not first:
         return None
+    fits, left = [], train_chars
+    for r in first:
+        if r["size"] <= left:
+            fits.append(r)
+            left -= r["size"]
+    chosen = [(n, r.file, r.row) for n, r in enumerate(fits or [min(first, key=lambda r: r["size"])], 1)]
     place = F.broadcast(docs.sparkSession.createDataFrame(chosen, "n int, file string, row long"))
     rows = kept.join(place, ["file", "row"]).select("n", "label", F.col("text").cast("binary").alias("text"))
 
