@@ -2,10 +2,12 @@
 
 An ARC archive begins with a filedesc record whose version block names the fields of all
 header lines: five for version 1, ten for version 2, the last always the declared length.
-Each record's content is exactly that long. The converter reads the fields by version,
-splits the HTTP header off the payload, and synthesises what a WARC record of the
-capture has: a name-based record id, an ISO timestamp, a type and base32 SHA-1 digests. Of
-records with equal payloads one becomes a response, the others revisits of it.
+Each record's content is exactly that long. The converter reads the fields by version, tells
+the HTTP header from the payload, and synthesises what a WARC record of the
+capture has: a name-based record id, an ISO timestamp, a type and base32 SHA-1 digests. The
+content itself, HTTP header included, is carried over byte for byte; what is no HTTP message
+becomes a resource. Of HTTP records with equal payloads one becomes a response, the others
+revisits of it, which keep their header. Damaged archives are errors unless asked otherwise.
 
 Plan. Archives are files of bounded size in the shared folder, compressed as a whole (ARC)
 or record by record (WARC), one archive per row of Spark's text sink, so any store that Spark can write will do
@@ -25,6 +27,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from hashlib import sha1
+from typing import NamedTuple
 from uuid import NAMESPACE_URL, uuid5
 
 import pyarrow as pa
@@ -43,8 +46,25 @@ ARC_FIELDS = {
     "2": ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-RECORD = "page_id long, url string, warc_date string, mime string, status int, record_id string, payload_bytes long, payload_digest string, payload binary, path string"
-_RECORD_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+RECORD = "page_id long, url string, warc_date string, mime string, status int, record_id string, payload_bytes long, payload_digest string, payload binary, path string, ip string, head binary"
+_RECORD_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.binary()]
+
+
+class Capture(NamedTuple):
+    """A record of an ARC archive; head is its HTTP header with the empty line, None without HTTP."""
+
+    page_id: int | None
+    url: str
+    warc_date: str
+    mime: str
+    status: int | None
+    record_id: str
+    payload_bytes: int
+    payload_digest: str
+    payload: bytes | None
+    path: str
+    ip: str
+    head: bytes | None
 
 
 def digest(data: bytes) -> str:
@@ -73,10 +93,11 @@ def arc_record(version: str, name: str, offset: int, page_id: int | None, url: s
     return f"{_url(url)} 0.0.0.0 {date} text/html{middle} {len(body)}\n".encode() + body + b"\n"
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], int, bytes]]:
+def parse_arc(data: bytes, damaged: str = "stop") -> Iterator[tuple[dict[str, str], int, bytes]]:
     """(fields, offset, content) of each record; the filedesc record, anywhere, sets the version.
 
-    What is cut off in mid-record ends the archive; an unknown version is an error.
+    An unknown version and a malformed header line are errors. A last record that is cut off
+    ends the archive, or is an error where damaged is "raise".
     """
     at, fields = 0, ARC_FIELDS["1"]
     while True:
@@ -84,31 +105,50 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], int, bytes]]:
             at += 1
         stop = data.find(b"\n", at)
         if stop < 0:
+            if data[at:].strip(b"\0\r\n ") and damaged == "raise":
+                raise ValueError(f"ARC record at {at} is cut off in its header line")
             return
         line = data[at:stop].decode("utf-8", "replace").rstrip("\r")
-        length = line.rpartition(" ")[2]
-        if not length.isdigit() or stop + 1 + int(length) > len(data):
+        # only a URL may hold blanks: fields count from the right
+        parts = line.rsplit(" ", len(fields) - 1)
+        length = parts[-1]
+        known = line.startswith("filedesc://") or len(parts) == len(fields)
+        if not known or not (length.isascii() and length.isdigit()):
+            raise ValueError(f"ARC header line at {at} is malformed: {line[:200]!r}")
+        if stop + 1 + int(length) > len(data):
+            if damaged == "raise":
+                raise ValueError(f"ARC record at {at} is cut off: {length} bytes are declared, {len(data) - stop - 1} there")
             return
         content = data[stop + 1 : stop + 1 + int(length)]
         if line.startswith("filedesc://"):
-            version = content.split(b" ", 1)[0].decode()
+            version = content.split(b" ", 1)[0].decode("utf-8", "replace")
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version!r} is unknown")
             fields = ARC_FIELDS[version]
         else:
-            # only a URL may hold blanks: fields count from the right
-            parts = line.rsplit(" ", len(fields) - 1)
             yield dict(zip(fields, parts)), at, content
         at = stop + 1 + int(length)
 
 
-def _http_parts(content: bytes) -> tuple[int | None, dict[str, str], bytes]:
+def _http_parts(content: bytes) -> tuple[int | None, dict[str, str], bytes | None, bytes]:
+    """Status, headers by lower-case name, header bytes with the empty line (None without HTTP), payload."""
     if not content.startswith(b"HTTP/"):
-        return None, {}, content
-    head, _, payload = content.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    status = lines[0].split(" ")[1] if " " in lines[0] else ""
-    return int(status) if status.isdigit() else None, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, payload
+        return None, {}, None, content
+    ends = [(at, len(gap)) for gap in (b"\r\n\r\n", b"\n\n") if (at := content.find(gap)) >= 0]
+    cut = sum(min(ends)) if ends else len(content)
+    lines = content[:cut].decode("utf-8", "replace").splitlines()
+    status = (lines[0].split(" ") + [""])[1]
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:]) if k.strip()}
+    return int(status) if status.isascii() and status.isdigit() and len(status) < 6 else None, headers, content[:cut], content[cut:]
+
+
+def arc_date(seconds: int) -> str:
+    """Seconds since 1970 as 14 digits, UTC; the start of 1970 for what no such date tells."""
+    try:
+        d = datetime.fromtimestamp(seconds, UTC)
+    except (ValueError, OverflowError, OSError):
+        d = datetime.fromtimestamp(0, UTC)
+    return f"{d.year:04d}{d:%m%d%H%M%S}"
 
 
 def iso_date(arc_date: str) -> str:
@@ -178,9 +218,10 @@ def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def kind(n: int) -> tuple:
         version, name = str(n % 2 + 1), f"archive-{n}.arc"
-        return arc_version_block(version, name), lambda row, at: arc_record(version, name, at, row[0], row[1], row[2], row[3])
+        return arc_version_block(version, name), lambda row, at: arc_record(version, name, at, row[0], row[1], arc_date(row[2]), row[3])
 
-    stamp = F.lit("20240101000000") if date is None else F.coalesce(F.date_format(date, "yyyyMMddHHmmss"), F.lit("19700101000000"))
+    # seconds, which no session time zone moves
+    stamp = F.lit(1_704_067_200).cast("long") if date is None else F.coalesce(F.unix_seconds(date.cast("timestamp")), F.lit(0))
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     return _archives(pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), stamp, payload), "arc", kind, archive_bytes, members=False)
 
@@ -189,29 +230,35 @@ def _files(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.format("binaryFile").load(path).select("path", "content")
 
 
-def arc_rows(data: bytes, path: str, payloads: bool = True) -> Iterator[tuple]:
+def arc_rows(data: bytes, path: str, payloads: bool = True, damaged: str = "raise") -> Iterator[Capture]:
     """The records of an archive, as read_arc has them."""
-    for fields, offset, content in parse_arc(_gunzip(data)):
-        status, headers, payload = _http_parts(content)
-        code = fields.get("Result-code", "")
-        page = headers.get("x-page-id", "")
-        of = digest(payload)
-        name = f"{fields['URL']} {fields['Archive-date']} {of} {path.rpartition('/')[2]} {offset}"
-        yield int(page) if page.lstrip("-").isdigit() else None, fields["URL"], iso_date(fields["Archive-date"]), fields["Content-type"], int(code) if code.isdigit() else status, f"<urn:uuid:{uuid5(NAMESPACE_URL, name)}>", len(payload), of, payload if payloads else None, path
-
-
-def read_arc(files: DataFrame, payloads: bool = True) -> DataFrame:
+    try:
+        for fields, offset, content in parse_arc(_gunzip(data), damaged):
+            status, headers, head, payload = _http_parts(content)
+            code, page, of = fields.get("Result-code", ""), headers.get("x-page-id", ""), digest(payload)
+            name = f"{fields['URL']} {fields['Archive-date']} {of} {path.rpartition('/')[2]} {offset}"
+            yield Capture(
+                int(page) if re.fullmatch(r"-?[0-9]{1,18}", page) else None, fields["URL"], iso_date(fields["Archive-date"]), fields["Content-type"], int(code) if re.fullmatch("[0-9]{1,5}", code) else status,
+                f"<urn:uuid:{uuid5(NAMESPACE_URL, name)}>", len(payload), of, payload if payloads else None, path, fields["IP-address"], head,
+            )
+    except ValueError as e:
+        raise ValueError(f"{path}: {e}") from e
+
+
+def read_arc(files: DataFrame, payloads: bool = True, damaged: str = "raise") -> DataFrame:
     """Records of ARC files (path, content): page_id (from an X-Page-Id header, else null), url,
     warc_date, mime, status, record_id, payload_bytes, payload_digest, payload (null without
-    payloads) and path."""
+    payloads), path, ip and head (the HTTP header; null without HTTP).
+
+    damaged: "raise", or "stop" to read an archive that is cut off as far as it goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, size = [], 0
-                for row in arc_rows(batch.column(1)[i].as_py(), batch.column(0)[i].as_py(), payloads):
+                for row in arc_rows(batch.column(1)[i].as_py(), batch.column(0)[i].as_py(), payloads, damaged):
                     rows.append(row)
-                    size += row[6] if payloads else 100
+                    size += row.payload_bytes + 100 if payloads else 100
                     if size >= BATCH_BYTES:
                         yield _batch(rows)
                         rows, size = [], 0
@@ -228,10 +275,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def typed(index: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """(path, record_id, to_page, to_record, to_url, to_date) of the records that are revisits.
 
-    Of records with equal payloads of at least min_revisit_bytes that with the greatest
+    Of HTTP records with equal payloads of at least min_revisit_bytes that with the greatest
     page_id, then record id, is the response.
     """
-    long_enough = index.where(F.col("payload_bytes") >= min_revisit_bytes)
+    long_enough = index.where(F.col("head").isNotNull() & (F.col("payload_bytes") >= min_revisit_bytes)).drop("head")
     best = long_enough.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "record_id", "url", "warc_date")).alias("r"), F.count("*").alias("n")).where("n > 1")
     found = long_enough.select("path", "record_id", "payload_digest", "payload_bytes").join(best, ["payload_digest", "payload_bytes"])
     return found.where("record_id <> r.record_id").select("path", "record_id", F.col("r.page_id").alias("to_page"), F.col("r.record_id").alias("to_record"), F.col("r.url").alias("to_url"), F.col("r.warc_date").alias("to_date"))
@@ -242,58 +289,71 @@ def _warc(kind: str, record_id: str, date: str, more: list[tuple[str, object]],
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def convert(arc_path: str, spark_df: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> str:
+def warc_record(row: Capture, to: dict | None) -> bytes:
+    """The WARC record of a capture; to: what it revisits."""
+    more: list[tuple[str, object]] = [("WARC-Target-URI", row.url), ("WARC-Payload-Digest", f"sha1:{row.payload_digest}")]
+    if row.mime and " " not in row.mime:
+        more.append(("WARC-Identified-Payload-Type", row.mime))
+    if row.ip not in ("", "-", "0.0.0.0"):
+        more.append(("WARC-IP-Address", row.ip))
+    # fields of our own: what a revisit, which has no payload, could not tell else
+    more += [("X-Payload-Length", row.payload_bytes), *([] if row.page_id is None else [("X-Page-Id", row.page_id)])]
+    if to:
+        more += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", to["to_record"]), ("WARC-Refers-To-Target-URI", to["to_url"]), ("WARC-Refers-To-Date", to["to_date"])]
+        more += [] if to["to_page"] is None else [("X-Refers-To-Page-Id", to["to_page"])]
+    block = (row.head or b"") + (b"" if to else row.payload or b"")
+    http = row.head is not None
+    more += [("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Type", "application/http; msgtype=response" if http else row.mime or "application/octet-stream")]
+    return _warc("revisit" if to else "response" if http else "resource", row.record_id, row.warc_date, more, block)
+
+
+def convert(arc_path: str, spark_df: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, damaged: str = "raise") -> str:
     """Converts all ARC archives under a path to WARC archives; the new folder's path.
 
-    spark_df is any DataFrame of the session.
+    spark_df is any DataFrame of the session. damaged as in read_arc.
     """
     files = _files(spark_df, arc_path)
-    revisits = typed(read_arc(files, payloads=False), min_revisit_bytes)
+    revisits = typed(read_arc(files, payloads=False, damaged=damaged), min_revisit_bytes)
     verdicts = revisits.groupBy("path").agg(F.collect_list(F.struct("record_id", "to_page", "to_record", "to_url", "to_date")).alias("revisits"))
 
     def records(path: str, content: bytes, revisits: list[dict] | None) -> Iterator[tuple]:
         to = {r["record_id"]: r for r in revisits or ()}
-        for row in arc_rows(content, path):
-            yield row, to.get(row[5])
+        for row in arc_rows(content, path, damaged=damaged):
+            yield row, to.get(row.record_id)
 
     def kind(n: int) -> tuple:
-        def record(row: tuple, at: int) -> bytes:
-            (page, url, date, mime, status, record_id, _, of, payload, _), to = row
-            more: list[tuple[str, object]] = [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{of}"), ("WARC-Identified-Payload-Type", mime)]
-            head = _http(page, payload) if status in (None, 200) else _http(page, payload).replace(b" 200 OK", f" {status} -".encode(), 1)
-            if to:
-                more += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", to["to_record"]), ("WARC-Refers-To-Target-URI", to["to_url"]), ("WARC-Refers-To-Date", to["to_date"])]
-                more += [] if to["to_page"] is None else [("X-Refers-To-Page-Id", to["to_page"])]
-            block = head if to else head + payload
-            more += [("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Type", "application/http; msgtype=response")]
-            return _warc("revisit" if to else "response", record_id, date, more, block)
-
         info = b"software: topograin\r\nformat: WARC file version 1.1\r\n"
-        return _warc("warcinfo", f"<urn:uuid:{uuid5(NAMESPACE_URL, f'warcinfo {n}')}>", "2024-01-01T00:00:00Z", [("Content-Type", "application/warc-fields")], info), record
+        return _warc("warcinfo", f"<urn:uuid:{uuid5(NAMESPACE_URL, f'warcinfo {n}')}>", "2024-01-01T00:00:00Z", [("Content-Type", "application/warc-fields")], info), lambda row, at: warc_record(*row)
 
     return _archives(files.join(verdicts, "path", "left").select("path", "content", "revisits"), "warc", kind, archive_bytes, records)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, lower-case names; block) of each record, by Content-Length."""
+    """(headers, lower-case names; block) of each record, by Content-Length. What is no record is an error."""
     at = 0
     while True:
         while data[at : at + 1] in (b"\r", b"\n"):
             at += 1
         stop = data.find(b"\r\n\r\n", at)
-        if stop < 0 or not data.startswith(b"WARC/", at):
+        if stop < 0 and not data[at:].strip(b"\0\r\n"):
             return
+        if stop < 0 or not data.startswith(b"WARC/", at):
+            raise ValueError(f"WARC record at {at} is damaged")
         lines = data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         at = stop + 4 + int(headers["content-length"])
+        if at > len(data):
+            raise ValueError(f"WARC record {headers.get('warc-record-id')} is cut off")
         yield headers, data[stop + 4 : at]
 
 
 def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
-    """Captures of WARC files (path, content): page_id, payload_bytes, payload_digest, record_type,
-    refers_to, record_id, url, warc_date, payload (null for revisits, or without payloads).
+    """Captures of WARC files (path, content): page_id, payload_bytes, payload_digest, record_type
+    (response, revisit or resource), refers_to, record_id, url, warc_date, payload (null for
+    revisits, or without payloads).
 
-    A response's digest is computed anew and must be the one that its header has.
+    A payload's digest is computed anew and must be the one that its header has. A revisit's
+    payload length is that of its X-Payload-Length or else its Content-Length header, or null.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "warc_date", "payload"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
@@ -307,14 +367,15 @@ def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
                 rows, size = [], 0
                 for headers, block in parse_warc(_gunzip(batch.column(1)[i].as_py())):
                     kind = headers["warc-type"]
-                    if kind not in ("response", "revisit"):
+                    if kind not in ("response", "revisit", "resource"):
                         continue
-                    _, http, payload = _http_parts(block)
+                    _, http, _, payload = _http_parts(block) if kind != "resource" else (None, {}, None, block)
                     of = headers["warc-payload-digest"].removeprefix("sha1:")
-                    if digest(block) != headers["warc-block-digest"].removeprefix("sha1:") or kind == "response" and digest(payload) != of:
+                    if digest(block) != headers["warc-block-digest"].removeprefix("sha1:") or kind != "revisit" and digest(payload) != of:
                         raise ValueError(f"record {headers['warc-record-id']} is damaged")
-                    page, to = http.get("x-page-id"), headers.get("x-refers-to-page-id")
-                    rows.append((int(page) if page else None, len(payload) if kind == "response" else int(http["content-length"]), of, kind, int(to) if to else None, headers["warc-record-id"], headers["warc-target-uri"], headers["warc-date"], payload if kind == "response" and payloads else None))
+                    page, to = headers.get("x-page-id") or http.get("x-page-id"), headers.get("x-refers-to-page-id")
+                    length = headers.get("x-payload-length") or http.get("content-length")
+                    rows.append((int(page) if page else None, len(payload) if kind != "revisit" else int(length) if length else None, of, kind, int(to) if to else None, headers["warc-record-id"], headers["warc-target-uri"], headers["warc-date"], payload if kind != "revisit" and payloads else None))
                     size += len(payload) if payloads else 100
                     if size >= BATCH_BYTES:
                         yield out()
