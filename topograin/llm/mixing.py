@@ -117,13 +117,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
     """The documents that the mix takes, all columns, with mix_taken, mix_position and
     mix_repeat_position, sorted by position. Columns of these names
-    that docs has are replaced. Rows that repeat an id and text stay repeated and share what is
-    taken of them; an empty table gives none."""
+    that docs has are replaced. Rows that repeat an id and text share all that is taken of them,
+    the first a word more where it does not divide, and stay repeated but for those without a
+    word; an empty table gives none."""
     docs = docs.drop("mix_taken", "mix_position", "mix_repeat_position")
     plan = mix(docs, id_col, text_col, source_col, **params).where("taken > 0")
     rows = plan.groupBy("doc_id", "text_hash", "source").agg(F.sum("taken").alias("taken"), F.min("position").alias("at"), F.min("repeat_position").alias("again"), F.count("*").alias("n"))
+    rows = written(rows, "taken")
     p = rows.select(F.struct("*").alias(OWN))
     key = docs[id_col].cast("long").eqNullSafe(p[OWN]["doc_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == p[OWN]["text_hash"]) & docs[source_col].eqNullSafe(p[OWN]["source"])
     own = F.col(OWN)
-    out = docs.join(p, key).select(*docs.columns, F.floor(own["taken"] / own["n"]).cast("long").alias("mix_taken"), own["at"].alias("mix_position"), own["again"].alias("mix_repeat_position"))
-    return out.orderBy("mix_position", id_col)
+    share = F.floor(own["taken"] / own["n"])
+    if not rows.where("n > 1").isEmpty():  # of equal rows the first have a word more
+        nth = F.row_number().over(Window.partitionBy(own["doc_id"], own["text_hash"], own["source"]).orderBy(F.lit(1)))
+        share = share + F.when(nth <= own["taken"] % own["n"], 1).otherwise(0)
+    out = docs.join(p, key).select(*docs.columns, share.cast("long").alias("mix_taken"), own["at"].alias("mix_position"), own["again"].alias("mix_repeat_position"))
+    return out.where("mix_taken > 0").orderBy("mix_position", id_col)

@@ -11,10 +11,11 @@ rows grow with the input, groups stay near one row). In a group the fingerprints
 sorted, are a binary trie whose nodes are index ranges. A frontier of node pairs walks down
 one bit at a time, adds up differing bits, drops a pair beyond the budget, and drops
 one whose leaves are in one class already. A group gives a spanning star, never all its
-pairs. Groups over `group_cap` fingerprints, which one task should not hold, are linked by
+pairs. Groups over `group_cap` fingerprints, which one task should not hold, are found by counts
+before anything is sent to a task, and linked by
 shared midpoints instead: two values within the budget, and only such, have a common value
-at half the budget or less from either; that takes only explode and min. Components come
-from rounds of random-order edge contraction between tables in the shared folder.
+at half the budget, rounded down, from one and rounded up from the other; that takes only explode
+and min. Components come from rounds of random-order edge contraction between tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ SHINGLE, BUDGET, GROUP_CAP = 4, 4, 1 << 16
 SEED = 42
 #: Hashes whose bits are counted at a time, rows of a trie batch, node pairs of a step.
 VOTES, TRIE_ROWS, FRONTIER = 1 << 16, 1 << 17, 1 << 17
+#: Hash buckets at least by which groups are counted.
+COUNTED = 1 << 16
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -137,16 +140,12 @@ def trie_classes(values: np.ndarray, groups: np.ndarray, budget: int = BUDGET) -
     return comp
 
 
-def _linked_in_groups(budget: int, cap: int):
-    """Streams rows (combo, key, fp), sorted, and yields star edges of each group; of a
-    group over the cap only its combo and key."""
+def _linked_in_groups(budget: int):
+    """Streams rows (combo, key, fp), sorted, and yields star edges of each group."""
 
     def flush(c: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.r_[True, (c[1:] != c[:-1]) | (key[1:] != key[:-1])]
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)[group]
-        over = new & (size > cap)
-        ok = (size > 1) & (size <= cap)
+        group = np.cumsum(np.r_[True, (c[1:] != c[:-1]) | (key[1:] != key[:-1])]) - 1
+        ok = np.bincount(group)[group] > 1
         # trie order is that of the unsigned values
         value, g = fp[ok].astype(np.uint64), group[ok]
         order = np.lexsort((value, g))
@@ -154,11 +153,7 @@ def _linked_in_groups(budget: int, cap: int):
         root = trie_classes(value, g, budget)
         child = np.flatnonzero(root != np.arange(len(root)))
         signed = value.astype(np.int64)
-        k, m = len(child), int(over.sum())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[signed[child], key[over]]), pa.array(np.r_[signed[root[child]], np.zeros(m, np.int64)]), pa.array(np.r_[np.full(k, -1), c[over]].astype(np.int32))],
-            ["a", "b", "over"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(signed[child]), pa.array(signed[root[child]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
@@ -173,34 +168,46 @@ def _linked_in_groups(budget: int, cap: int):
             cut = last[-1] + 1 if len(last) else 0
             if cut:
                 yield from flush(c[:cut], key[:cut], fp[:cut])
-            c, key, fp = c[cut:], key[cut:], fp[cut:]
-            if len(fp) > cap + 1:  # enough to know that it is over the cap
-                c, key, fp = c[: cap + 1], key[: cap + 1], fp[: cap + 1]
-            kept, rows = [[c, key, fp]], len(fp)
+            kept, rows = [[c[cut:], key[cut:], fp[cut:]]], len(fp) - cut
         if rows:
             yield from flush(*(np.concatenate(x) for x in zip(*kept)))
 
     return run
 
 
+def _hot(dealt: DataFrame, rows: int, cap: int) -> DataFrame | None:
+    """(c, key) of groups over the cap, of dealt (c, key, fp) with about that many rows; None if there are none.
+
+    Groups are counted by hash bucket first, which combines before the shuffle; only rows
+    of buckets over the cap are counted by group."""
+    spot = F.pmod(F.xxhash64("c", "key"), F.lit(COUNTED + 4 * rows // cap))
+    full = written(dealt.groupBy(spot.alias("spot")).agg(F.count("*").alias("n")).where(F.col("n") > cap).select("spot"), "full")
+    if full.isEmpty():
+        return None
+    some = dealt.withColumn("spot", spot).join(full, "spot", "left_semi")
+    hot = written(some.groupBy("c", "key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("c", "key"), "hot")
+    return None if hot.isEmpty() else hot
+
+
 def links(fps: DataFrame, budget: int = BUDGET, group_cap: int = GROUP_CAP) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp, written): their components are
     those of all pairs within the budget."""
     masks = block_masks(budget + 2)
     combos = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
     dealt = fps.select("fp", F.explode(combos).alias("g")).select(F.col("g.c").alias("c"), F.col("g.key").alias("key"), "fp")
-    found = written(dealt.repartition("c", "key").sortWithinPartitions("c", "key", "fp").mapInArrow(_linked_in_groups(budget, group_cap), "a long, b long, over int"), "links")
-    edges = found.where("over < 0").select("a", "b")
-    over = found.where("over >= 0").select(F.col("over").alias("c"), F.col("a").alias("key"))
-    if over.isEmpty():
+    hot = _hot(dealt, len(masks) * fps.count(), group_cap)
+    cold = dealt if hot is None else dealt.join(hot, ["c", "key"], "left_anti")
+    edges = written(cold.repartition("c", "key").sortWithinPartitions("c", "key", "fp").mapInArrow(_linked_in_groups(budget), "a long, b long"), "links")
+    if hot is None:
         return edges.distinct()
+    # from one side half the budget, from the other the rest of it
     flips = []
     for m in masks:
         free = [i for i in range(64) if not m >> i & 1]
-        flips.append([0, *(_signed(sum(1 << i for i in x)) for n in range(1, budget // 2 + 1) for x in combinations(free, n))])
-    spec = fps.sparkSession.createDataFrame(list(enumerate(flips)), "c int, flips array<long>")
-    middles = dealt.join(over, ["c", "key"]).join(F.broadcast(spec), "c").select("c", "key", "fp", F.explode("flips").alias("f")).select("c", F.col("fp").bitwiseXOR(F.col("f")).alias("mid"), "fp")
-    least = middles.groupBy("c", "mid").agg(F.min("fp").alias("b"))
+        flips.append([(_signed(sum(1 << i for i in x)), n <= budget // 2) for n in range((budget + 1) // 2 + 1) for x in combinations(free, n)])
+    spec = fps.sparkSession.createDataFrame(list(enumerate(flips)), "c int, flips array<struct<f:long,near:boolean>>")
+    middles = dealt.join(hot, ["c", "key"]).join(F.broadcast(spec), "c").select("c", "fp", F.explode("flips").alias("x")).select("c", F.col("fp").bitwiseXOR(F.col("x.f")).alias("mid"), "fp", "x.near")
+    least = middles.where("near").groupBy("c", "mid").agg(F.min("fp").alias("b"))
     more = middles.join(least, ["c", "mid"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
     return edges.union(more).distinct()
 
