@@ -55,7 +55,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(line("base").cast("binary"), 256).alias("base_sha256"),
-        line(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("live").cast("long").alias("n_live"), (F.size("base") + F.size("added") - F.size("live")).cast("long").alias("n_copied"),
+        line(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("live").cast("long").alias("n_live"), (F.size("base") - F.size(F.filter("live", lambda s: s["kind"] != "opaque"))).cast("long").alias("n_copied"),
     )
 
 

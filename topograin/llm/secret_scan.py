@@ -3,8 +3,10 @@
 Patterns find candidates in every text. The hash of each candidate's value is counted over
 the whole corpus by distinct repositories and owners: a value in the hands of several
 owners, or in many repositories, is a widely copied example; one that a single owner
-has is live-looking. Candidates of the three base kinds are always reported; strings that
-are merely opaque are reported only where their ownership says that they are live.
+has is live-looking. Candidates of the three base kinds are always reported. What ownership
+says is live adds spans: one of kind live over each such value, without its key and
+quotes, and one of kind opaque over each merely opaque string that one owner has; a value that is
+widely copied adds none.
 
 Plan, built-in functions only. Positions come without a UDF: the pieces that a text falls
 into between the matches, and the matches, have lengths that add up. Texts are read once;
@@ -28,14 +30,16 @@ BASE = {
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
-KINDS = [*BASE, "opaque"]
+KINDS = [*BASE, "opaque", "live"]
 MAX_OWNERS, MAX_REPOSITORIES, DISTINCT_CHARS = 1, 3, 6
 #: Matches of a text that one fold runs over.
 FOLD = 128
 REDACTED = "[REDACTED]"
+#: Rows and spans of live-looking secrets up to which they are broadcast.
+BROADCAST_SPANS = 100_000
 #: A column name that no table has.
 OWN = "__topograin_live"
-_SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string,varied:boolean>>"
+_SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string,varied:boolean,begin:int>>"
 
 
 def _spans(text: Column, matches: Column, values: Column, pattern: str, kind: str, least: int) -> Column:
@@ -51,7 +55,7 @@ def _spans(text: Column, matches: Column, values: Column, pattern: str, kind: st
         end = start + F.length(x["match"])
         value = x["value"]
         varied = F.size(F.array_distinct(F.split(value, ""))) >= DISTINCT_CHARS
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), F.md5(value.cast("binary")).alias("value"), varied.alias("varied"))
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), F.md5(value.cast("binary")).alias("value"), varied.alias("varied"), (end - F.length(value)).alias("begin"))
         return F.struct(end.alias("at"), F.when(F.length(value) >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
     def fold(zipped: Column) -> Column:
@@ -60,7 +64,7 @@ def _spans(text: Column, matches: Column, values: Column, pattern: str, kind: st
 
     def moved(folds: Column) -> Column:
         ends = F.aggregate(F.transform(folds, lambda f: f["at"]), F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
-        by = lambda n: lambda s: s.withField("start", s["start"] + n).withField("end", s["end"] + n)
+        by = lambda n: lambda s: s.withField("start", s["start"] + n).withField("end", s["end"] + n).withField("begin", s["begin"] + n)
         return F.flatten(F.transform(F.arrays_zip(folds.alias("f"), ends.alias("n")), lambda x: F.when(x["f"].isNull(), none).otherwise(F.transform(x["f"]["out"], by(x["n"])))))
 
     # one piece more than there are matches: that after the last
@@ -100,16 +104,13 @@ def _mixed(v: Column) -> Column:
     return v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
 
 
-def has_candidate(text: Column) -> Column:
-    """True for every text in which a pattern matches."""
-    return F.coalesce(text.rlike("|".join([*(p for p, _, _ in BASE.values()), OPAQUE])), F.lit(False))
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repository: Column | None = None, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """(doc_id, text_hash, base, added, live) per row, arrays of spans by start and kind.
 
-    base holds the base kinds' spans, added the opaque strings with a live-looking owner,
-    live those of both whose value is not widely copied and has enough distinct characters.
+    live holds the base and opaque spans whose value is not widely copied and has enough distinct
+    characters. base holds the base kinds' spans; added those of opaque strings that are
+    live, and one of kind live for each distinct place of a live value. A value that two base
+    kinds find at one place is one place.
     Null or empty texts have none. A null owner or repository counts as one unknown
     owner or repository. Repeated rows give repeated rows.
     """
@@ -121,19 +122,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     shared = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("value").alias("shared")).select(F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_hash"), "shared")
     joined = found.join(shared, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")), "left")
     own = lambda s: ~F.array_contains(F.coalesce(F.col("shared"), F.array().cast("array<string>")), s["value"]) & s["varied"]
-    return joined.select("doc_id", "text_hash", F.sort_array("base").alias("base"), F.filter(F.sort_array("opaque"), own).alias("added"), F.sort_array(F.filter(F.concat("base", "opaque"), own)).alias("live"))
+    live = joined.select("doc_id", "text_hash", F.sort_array("base").alias("base"), F.sort_array(F.filter(F.concat("base", "opaque"), own)).alias("live"))
+    places = F.array_distinct(F.transform("live", lambda s: F.struct(s["begin"].alias("start"), F.lit(KINDS.index("live")).alias("rank"), F.lit("live").alias("kind"), s["end"].alias("end"), s["value"].alias("value"), s["varied"].alias("varied"), s["begin"].alias("begin"))))
+    opaque = F.filter("live", lambda s: s["kind"] == "opaque")
+    return live.select("doc_id", "text_hash", "base", F.sort_array(F.concat(opaque, places)).alias("added"), "live")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", **params) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", broadcast_spans: int = BROADCAST_SPANS, **params) -> DataFrame:
     """docs, all columns, with live-looking secrets replaced and size_col, if there, counted anew.
 
-    Widely copied examples stay. Texts without any candidate are not shuffled.
+    Widely copied examples stay. Patterns run once over the texts, in scan; its spans come back
+    by id and hash, broadcast while their counted number is within broadcast_spans, else by a
+    shuffled join.
     """
     found = scan(docs, id_col, text_col, **params).where(F.size("live") > 0)
-    live = found.groupBy("doc_id", "text_hash").agg(F.first("live").alias(OWN)).select(F.col("doc_id").alias(f"{OWN}_id"), F.col("text_hash").alias(f"{OWN}_hash"), OWN)
+    places = F.transform("live", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    live = found.groupBy("doc_id", "text_hash").agg(F.first(places).alias(OWN)).select(F.col("doc_id").alias(f"{OWN}_id"), F.col("text_hash").alias(f"{OWN}_hash"), OWN)
+    live = written(live, "live")
+    few = (live.agg(F.sum(F.size(OWN) + 1)).first()[0] or 0) <= broadcast_spans
     text = F.col(text_col)
-    maybe = docs.where(has_candidate(text))
-    key = maybe[id_col].cast("long").eqNullSafe(F.col(f"{OWN}_id")) & (F.xxhash64(F.coalesce(maybe[text_col], F.lit(""))) == F.col(f"{OWN}_hash"))
+    key = docs[id_col].cast("long").eqNullSafe(F.col(f"{OWN}_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(f"{OWN}_hash"))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -142,7 +150,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(ahead, cut).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate(OWN, begin, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    cleaned = maybe.join(live, key, "left").withColumn(text_col, F.when(F.col(OWN).isNotNull(), clean).otherwise(text))
+    cleaned = docs.join(F.broadcast(live) if few else live, key, "left").withColumn(text_col, F.when(F.col(OWN).isNotNull(), clean).otherwise(text))
     if size_col in docs.columns:
         cleaned = cleaned.withColumn(size_col, F.when(F.col(OWN).isNotNull(), F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
-    return docs.where(~has_candidate(text)).unionByName(cleaned.select(*docs.columns))
+    return cleaned.select(*docs.columns)
