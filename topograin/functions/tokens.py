@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = "struct<word:string,entity:string,score:double,start:int,end:int>"
+#: Tokens that connect the parts of a name.
 CONNECTORS = ["-", ",", ".", "’", "'", "?"]
 _EMPTY = f"array<{TOKEN}>"
 
@@ -82,11 +83,12 @@ def fix_nested(tokens: Column) -> Column:
 def fix_starts(tokens: Column) -> Column:
     """An I- tag at the start, after O, or after another type becomes B-."""
 
-    def step(p: Column, t: Column) -> Column:
+    def step(t: Column, i: Column) -> Column:
+        p = F.try_element_at(tokens, F.when(i > 0, i))  # repairs here never change a type: the one before as given will do
         begins = p.isNull() | (p["entity"] == "O") | (_type(p["entity"]) != _type(t["entity"]))
         return F.when(t["entity"].startswith("I-") & begins, _token(t, entity=F.concat(F.lit("B-"), _type(t["entity"])))).otherwise(t)
 
-    return _fold(tokens, step)
+    return F.transform(tokens, step)
 
 
 def repair(tokens: Column, sentence: Column) -> Column:

@@ -6,7 +6,7 @@ whatever the document. Weights are a few arrays in the closure.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -108,26 +108,31 @@ def propagate(local: np.ndarray, entities: np.ndarray, mask: np.ndarray, heed: n
     return _softmax(np.where(mask, total, -1e10))
 
 
-def score_batch(entities: np.ndarray, mask: np.ndarray, prior: np.ndarray, words: list[np.ndarray], w: Weights) -> np.ndarray:
-    """Final scores (n, c) of a batch of mentions."""
+def beliefs(entities: np.ndarray, mask: np.ndarray, words: list[np.ndarray], w: Weights) -> np.ndarray:
+    """Beliefs (n, c) of a batch of mentions by context and each other."""
     d = entities.shape[2]
     local = np.stack([local_scores(e, m, x, w) for e, m, x in zip(entities, mask, words)])
     mean = np.stack([np.r_[x.mean(axis=0), x[-3:].mean(axis=0)] if len(x) else np.zeros(2 * d) for x in words])
-    belief = propagate(local, entities, mask, relation_weights(mean, w), w)
-    x = np.stack([belief, np.log(np.maximum(prior, w.config.pad_prior))], axis=-1)
-    out = np.maximum(x @ w.w1 + w.b1, 0) @ w.w2 + w.b2
-    # prior and belief speak for themselves, the network corrects
-    return np.where(mask, belief + out, -1e10)
+    return propagate(local, entities, mask, relation_weights(mean, w), w)
 
 
-def disambiguate(items: DataFrame, weights: Weights) -> DataFrame:
-    """(doc_id, mention_no, qid, score, rank) from rows (doc_id, mention_no, rank, qid, prior, emb, words): a row a
-    candidate, words the mention's context vectors (array of arrays; only the first candidate's count).
+def combined(x: np.ndarray, w: Weights) -> np.ndarray:
+    """Scores from (..., 2) beliefs and log priors: the belief, corrected by the network."""
+    return x[..., 0] + np.maximum(x @ w.w1 + w.b1, 0) @ w.w2 + w.b2
 
-    Missing candidates are padding and are not returned. A document's mentions are scored together in
-    batches of consecutive ones. A null vector is a zero vector.
-    """
-    config = weights.config
+
+def features_of(belief: np.ndarray, prior: np.ndarray, w: Weights) -> np.ndarray:
+    return np.stack([belief, np.log(np.maximum(prior, w.config.pad_prior))], axis=-1)
+
+
+def score_batch(entities: np.ndarray, mask: np.ndarray, prior: np.ndarray, words: list[np.ndarray], w: Weights) -> np.ndarray:
+    """Final scores (n, c) of a batch of mentions."""
+    return np.where(mask, combined(features_of(beliefs(entities, mask, words, w), prior, w), w), -1e10)
+
+
+def _by_batch(items: DataFrame, config: Config, columns: str, use: Callable) -> DataFrame:
+    """(doc_id, mention_no, qid, columns, rank), columns being what use(entities, mask, prior, words)
+    gives for the candidates (n, c, columns) of a batch of a document's consecutive mentions."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         groups = [(no, g.sort_values("rank").head(config.candidates)) for no, g in pdf.groupby("mention_no", sort=True)]
@@ -140,12 +145,27 @@ def disambiguate(items: DataFrame, weights: Weights) -> DataFrame:
                 mask[i, j], prior[i, j] = True, min(1.0, max(config.min_prior, r.prior))
             first = g.iloc[0].words
             words.append(np.array([np.asarray(x, float) for x in first]) if first is not None and len(first) else np.zeros((0, d)))
-        scores = score_batch(entities, mask, prior, words, weights)
-        rows = [(key[0], no, r.qid, float(scores[i, j]), j + 1) for i, (no, g) in enumerate(groups) for j, r in enumerate(g.itertuples())]
-        return pd.DataFrame(rows, columns=["doc_id", "mention_no", "qid", "score", "rank"])
+        out = use(entities, mask, prior, words)
+        rows = [(key[0], no, r.qid, *map(float, out[i, j]), j + 1) for i, (no, g) in enumerate(groups) for j, r in enumerate(g.itertuples())]
+        return pd.DataFrame(rows, columns=["doc_id", "mention_no", "qid", *(x.split()[0] for x in columns.split(", ")), "rank"])
 
     batch = F.floor(F.col("mention_no") / config.batch).alias("batch")
-    return items.groupBy("doc_id", batch).applyInPandas(run, f"doc_id {dict(items.dtypes)['doc_id']}, mention_no long, qid string, score double, rank int")
+    return items.groupBy("doc_id", batch).applyInPandas(run, f"doc_id {dict(items.dtypes)['doc_id']}, mention_no long, qid string, {columns}, rank int")
+
+
+def disambiguate(items: DataFrame, weights: Weights) -> DataFrame:
+    """(doc_id, mention_no, qid, score, rank) from rows (doc_id, mention_no, rank, qid, prior, emb, words): a row a
+    candidate, words the mention's context vectors (array of arrays; only the first candidate's count).
+
+    Missing candidates are padding and are not returned. A document's mentions are scored together in
+    batches of consecutive ones. A null vector is a zero vector.
+    """
+    return _by_batch(items, weights.config, "score double", lambda *x: score_batch(*x, weights)[..., None])
+
+
+def features(items: DataFrame, weights: Weights) -> DataFrame:
+    """(doc_id, mention_no, qid, belief, log_prior, rank): what the final network of disambiguate reads."""
+    return _by_batch(items, weights.config, "belief double, log_prior double", lambda entities, mask, prior, words: features_of(beliefs(entities, mask, words, weights), prior, weights))
 
 
 def align_labels(word_ids: list[int | None], labels: list[str], ids: dict[str, int]) -> list[int]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from .pipeline import Pipeline, output
 
-EXAMPLE = "Harvey, from London; Thomas and Elizabeth, from Manchester."
+EXAMPLE = "The mail coach from Exeter reached Plymouth before noon on Tuesday."
 
 
 def _rows(df: DataFrame) -> list[dict]:

@@ -509,14 +509,14 @@ def rel_retokenise(spark, d):
 
 
 @query(f"""WITH {SPANS}, linked AS (SELECT t.*, CASE WHEN s.span IS NULL OR length(s.mention) % 3 = 0 THEN 'O' WHEN t.tok = s.start_offset THEN 'B-Q' || length(s.mention) ELSE 'I-Q' || length(s.mention) END AS link FROM tokens t LEFT JOIN spans s ON s.doc_id = t.doc_id AND s.sent_idx = t.sent_idx AND t.tok BETWEEN s.start_offset AND s.end_offset),
-    line AS (SELECT doc_id, sent_idx, tok, concat_ws(chr(9), word, entity, 'O', 'O', 'O', 'O', 'O', CASE WHEN link <> 'O' THEN link[3:] WHEN entity <> 'O' THEN 'NIL' ELSE link END, 'O', 'O') AS l FROM linked WHERE doc_id % 2 = 0)
+    line AS (SELECT doc_id, sent_idx, tok, concat_ws(chr(9), word, entity, 'O', 'O', 'O', 'O', 'O', CASE WHEN link <> 'O' THEN link[3:] WHEN entity <> 'O' THEN 'NIL' ELSE link END, 'O', 'O') AS l FROM linked)
     SELECT doc_id, sent_idx, string_agg(l, chr(10) ORDER BY tok) AS lines FROM line GROUP BY ALL""")
 def hipe_lines(spark, d):
     linked = M.mentions(flat_tokens(spark, d)).where(F.length("mention") % 3 != 0).select("doc_id", "sent_idx", F.col("start_offset").alias("first"), F.col("end_offset").alias("last"), F.concat(F.lit("Q"), F.length("mention")).alias("qid"))
     rows = flat_tokens(spark, d)
     links = E.write_links(rows, linked)
     full = rows.join(links, ["doc_id", "sent_idx", "tok"]).select("doc_id", "sent_idx", "tok", "word", F.col("entity").alias("tag"), "link")
-    test = table(spark, d, "conversations").where(F.col("conv_id") % 2 == 0).select(F.col("conv_id").alias("doc_id"))
+    test = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"))
     return E.hipe_lines(full, test)
 
 

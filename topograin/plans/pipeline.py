@@ -17,7 +17,9 @@ from ..functions import text as T
 from ..functions import tokens as K
 from ..operators import candidates as C
 from ..operators import linking as L
+from ..operators.disambiguation import Weights
 from ..operators.mentions import explode_tokens, mentions, with_context
+from ..operators.training import reldisamb
 from ..sources.tables import spread, written
 
 Tagger = Callable[[Column], Column]
@@ -74,13 +76,22 @@ class Ranker:
 
 @dataclass
 class Linker:
-    """How candidates become one entity: mostpopular or bydistance, or a function of
-    (mention occurrences with candidates) to (row_id, prediction, ed_score)."""
+    """How candidates become one entity: mostpopular, bydistance, reldisamb (with the collective model's
+    weights and its store of vectors), or a function of mentions and candidates to (doc_id, sent_idx,
+    pos, mention, prediction, ed_score)."""
 
     method: str | Callable[[DataFrame], DataFrame] = "mostpopular"
     without_microtoponyms: bool = False
     default_place: str = L.DEFAULT_PLACE
     default_qid: str = L.DEFAULT_QID
+    weights: Weights | None = None
+    store: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if self.method == "reldisamb":
+            if self.weights is None or self.store is None:
+                raise ValueError("reldisamb needs weights and a store of vectors")
+            self.method = reldisamb(self.weights, self.store)
 
 
 @dataclass
