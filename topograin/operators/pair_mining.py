@@ -41,7 +41,7 @@ def name_pairs(kb: DataFrame, threshold: int = 85) -> DataFrame:
 def balance(pairs: DataFrame) -> DataFrame:
     """As many positive as negative pairs of each length of s1, in hash order."""
     size = F.length("s1")
-    order = Window.partitionBy(size, "label").orderBy(F.xxhash64("s1", "s2"), "s1", "s2")
+    order = Window.partitionBy(size, "label").orderBy(F.md5(F.concat_ws(":", "s1", "s2").cast("binary")), "s1", "s2")
     count = pairs.groupBy(size.alias("k")).agg(F.least(F.count_if("label"), F.count_if(~F.col("label"))).alias("most"))
     ranked = pairs.withColumn("k", size).withColumn("r", F.row_number().over(order))
     return ranked.join(count, "k").where("r <= most").select("s1", "s2", "label")

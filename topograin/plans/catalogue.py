@@ -131,7 +131,21 @@ def partial_match_top1(spark, d):
 OSA = "1 - (damerau_levenshtein(lower(mention), lower(variation)) / greatest(length(mention), length(variation)))::FLOAT::DOUBLE"
 
 
-@query()  # DuckDB's distance lets swapped characters be edited again, so SQL is no oracle here
+def cells(pairs: str, cell: str) -> str:
+    """SQL: the table of a recurrence over two strings (a, b) of each row of pairs, filled a cell a step by
+    rows of b's characters: i and j number the cell, w is a row's width, d the cells before."""
+    return f"""grid AS (SELECT a, b, 0 AS k, []::INT[] AS d FROM {pairs} UNION ALL
+        SELECT a, b, k + 1, list_append(d, {cell}) FROM (SELECT *, k // w AS i, k % w AS j FROM (SELECT *, length(b) + 1 AS w FROM grid)) WHERE k < (length(a) + 1) * w),
+    filled AS (SELECT a, b, d[-1] AS cell FROM grid WHERE k = (length(a) + 1) * (length(b) + 1))"""
+
+
+OSA_CELL = """CASE WHEN i = 0 THEN j WHEN j = 0 THEN i ELSE least(d[k - w + 1] + 1, d[k] + 1, d[k - w] + (a[i] <> b[j])::INT,
+    CASE WHEN i > 1 AND j > 1 AND a[i] = b[j - 1] AND a[i - 1] = b[j] THEN d[k - 2 * w - 1] + 1 ELSE 1000000 END) END::INT"""
+LCS_CELL = "CASE WHEN i = 0 OR j = 0 THEN 0 WHEN a[i] = b[j] THEN d[k - w] + 1 ELSE greatest(d[k - w + 1], d[k]) END::INT"
+
+
+@query(f"""WITH RECURSIVE pairs AS (SELECT DISTINCT p_type AS mention, p_name AS variation, lower(p_type) AS a, lower(p_name) AS b FROM part), own AS (SELECT DISTINCT a, b FROM pairs), {cells("own", OSA_CELL)}
+    SELECT mention, variation, round(1 - (cell / greatest(length(a), length(b), 1))::FLOAT::DOUBLE, 6) AS score FROM pairs JOIN filled USING (a, b)""")
 def damlev_similarity(spark, d):
     pairs = table(spark, d, "part").select(F.col("p_type").alias("mention"), F.col("p_name").alias("variation")).distinct()
     return pairs.withColumn("score", F.round(S.osa_similarity_udf("mention", "variation"), 6))
@@ -273,7 +287,9 @@ def top7_output(spark, d):
 
 
 GUARDED, SENTENCE_END = T.GUARDED, T.SENTENCE_END.replace("'", "''")
-SENTENCES = rf"SELECT doc_id, source, lang, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_idx FROM (SELECT doc_id, source, lang, string_split(replace(regexp_replace(regexp_replace(text, '{GUARDED}', '\1\2' || chr(2) || '\3', 'g'), '{SENTENCE_END}', '\1' || chr(1) || '\2', 'g'), chr(2), '.'), chr(1)) AS s FROM documents)"
+CUT = rf"string_split(replace(regexp_replace(regexp_replace(text, '{GUARDED}', '\1\2' || chr(2) || '\3', 'g'), '{SENTENCE_END}', '\1' || chr(1) || '\2', 'g'), chr(2), '.'), chr(1))"
+SENTENCES = f"SELECT doc_id, source, lang, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_idx FROM (SELECT doc_id, source, lang, {CUT} AS s FROM documents)"
+CLASSES = "SELECT source AS qid, lang AS class_qid FROM documents GROUP BY source, lang QUALIFY row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) = 1"
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -282,7 +298,7 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""WITH counts AS ({TEXT_COUNTS}), sent AS ({SENTENCES}), found AS (SELECT doc_id, sent_idx, unnest(regexp_extract_all(sentence, '\p{{Lu}}\p{{L}}+')) AS mention FROM sent),
     kb AS (SELECT *, sum(n) OVER (PARTITION BY mention) AS total, row_number() OVER (PARTITION BY mention ORDER BY n DESC, qid) AS k FROM counts), gaz AS ({GRID}),
-    classes AS (SELECT source AS qid, lang AS class_qid FROM documents GROUP BY source, lang QUALIFY row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) = 1)
+    classes AS ({CLASSES})
     SELECT f.doc_id, f.sent_idx::INT AS sent_idx, f.mention, count(*) AS n, coalesce(kb.qid, 'NIL') AS prediction, round(coalesce(kb.n / kb.total, 0), 3)::DOUBLE AS ed_score, lat, lon, class_qid AS wkdt_class
     FROM found f LEFT JOIN kb ON kb.mention = f.mention AND kb.k = 1 LEFT JOIN gaz ON gaz.qid = kb.qid LEFT JOIN classes ON classes.qid = kb.qid GROUP BY ALL""")
 def resolve_with_coords(spark, d):
@@ -565,14 +581,35 @@ def start_fix_fold(spark, d):
     return _exploded(tokens(spark, d).withColumn("tokens", K.fix_starts(F.col("tokens"))))
 
 
-@query()
+def walk(tagged: str, goes_on: str) -> str:
+    """SQL: tokens one by one; t takes the type of p, the one before as repaired, where it goes on with its span."""
+    return f"""WITH RECURSIVE {TOKENS}, tagged AS MATERIALIZED ({tagged}),
+    walk AS (SELECT * FROM tagged WHERE tok = 0 UNION ALL
+        SELECT t.doc_id, t.sent_idx, t.tok, t.word, CASE WHEN p.entity <> 'O' AND t.entity <> 'O' AND ({goes_on}) THEN 'I-' || split_part(p.entity, '-', 2) ELSE t.entity END, t.score, t.start, t."end"
+        FROM walk p JOIN tagged t ON t.doc_id = p.doc_id AND t.sent_idx = p.sent_idx AND t.tok = p.tok + 1)
+    SELECT doc_id, sent_idx, tok, word, entity, round(score, 6) AS score, start, "end" FROM walk"""
+
+
+SQL_CONNECTORS = ", ".join("'" + c.replace("'", "''") + "'" for c in K.CONNECTORS)
+IS_LINK = f"({{0}}.word IN ({SQL_CONNECTORS}) OR regexp_matches({{0}}.word, '^[0-9]$'))"
+
+
+@query(walk("""SELECT doc_id, sent_idx, tok, CASE tok % 4 WHEN 1 THEN '-' WHEN 3 THEN word ELSE CASE WHEN length(word) % 5 = 4 THEN '7' ELSE word END END AS word,
+        CASE WHEN tok % 4 = 1 THEN 'I-LOC' WHEN entity = 'O' AND length(word) % 2 = 0 THEN 'B-STREET' ELSE entity END AS entity, score, start - CASE WHEN tok % 3 = 2 THEN 1 ELSE 0 END AS start, "end" FROM tokens""",
+    f"""({IS_LINK.format('p')} OR {IS_LINK.format('t')}) AND (split_part(p.entity, '-', 2) = split_part(t.entity, '-', 2) OR (t.word[1] = lower(t.word[1]) AND t.word[1] <> upper(t.word[1])) OR regexp_matches(t.word, '^[0-9]+$') OR p."end" = t.start)"""))
 def hyphen_fix_fold(spark, d):
-    return _exploded(tokens(spark, d).withColumn("tokens", K.fix_connectors(F.col("tokens"))))
+    """Every fourth word is made a tagged hyphen and some a digit; words of even length are tagged; some tokens touch."""
+    word = lambda t, i: F.when(i % 4 == 1, "-").when((i % 2 == 0) & (F.length(t["word"]) % 5 == 4), "7").otherwise(t["word"])
+    tag = lambda t, i: F.when(i % 4 == 1, "I-LOC").when((t["entity"] == "O") & (F.length(t["word"]) % 2 == 0), "B-STREET").otherwise(t["entity"])
+    tagged = F.transform("tokens", lambda t, i: F.struct(word(t, i).alias("word"), tag(t, i).alias("entity"), t["score"].alias("score"), (t["start"] - (i % 3 == 2).cast("int")).alias("start"), t["end"].alias("end")))
+    return _exploded(tokens(spark, d).withColumn("tokens", K.fix_connectors(tagged)))
 
 
-@query()
+@query(walk("""SELECT doc_id, sent_idx, tok, CASE WHEN tok % 4 = 1 THEN 'of' ELSE word END AS word, CASE WHEN tok % 4 = 1 THEN 'I-LOC' WHEN entity = 'O' AND length(word) % 2 = 0 THEN 'B-STREET' ELSE entity END AS entity, score, start, "end" FROM tokens""", "lower(p.word) = 'of'"))
 def nested_fix_fold(spark, d):
-    tagged = F.transform("tokens", lambda t: F.struct(t["word"].alias("word"), F.when(F.lower(t["word"]) == "of", "I-LOC").otherwise(t["entity"]).alias("entity"), t["score"].alias("score"), t["start"].alias("start"), t["end"].alias("end")))
+    """Every fourth word is made a tagged "of"; words of even length are tagged."""
+    tag = lambda t, i: F.when(i % 4 == 1, "I-LOC").when((t["entity"] == "O") & (F.length(t["word"]) % 2 == 0), "B-STREET").otherwise(t["entity"])
+    tagged = F.transform("tokens", lambda t, i: F.struct(F.when(i % 4 == 1, "of").otherwise(t["word"]).alias("word"), tag(t, i).alias("entity"), t["score"].alias("score"), t["start"].alias("start"), t["end"].alias("end")))
     return _exploded(tokens(spark, d).withColumn("tokens", K.fix_nested(tagged)))
 
 
@@ -615,7 +652,19 @@ def lbp_global_score(spark, d):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query()
+RATIO = "round_even(200 * cell / (length(a) + length(b)), 0)"
+
+
+@query(f"""WITH RECURSIVE asked AS ({WORD_QUERIES}), words AS (SELECT DISTINCT lower(mention) AS word FROM asked WHERE NOT contains(mention, ' ')),
+    near AS (SELECT word, unnest([translate(word, 'eo', 'cu'), reverse(word), word || 's']) AS other FROM words UNION ALL SELECT * FROM (SELECT word, lead(word) OVER (PARTITION BY length(word) ORDER BY word) AS other FROM words) WHERE other IS NOT NULL),
+    halves AS (SELECT *, length(word) // 2 AS h, length(other) // 2 AS g, other IN (SELECT word FROM words) AS english FROM near WHERE length(word) BETWEEN 3 AND 15 AND NOT contains(word, other) AND NOT contains(other, word)),
+    names AS (SELECT DISTINCT x.p_name AS s1, y.p_name AS s2 FROM part x JOIN part y USING (p_brand) WHERE x.p_name < y.p_name),
+    own AS (SELECT word[:h] AS a, other[:g] AS b FROM halves UNION SELECT word[h + 1:], other[g + 1:] FROM halves UNION SELECT * FROM names), {cells("own", LCS_CELL)},
+    ratios AS (SELECT a, b, CASE WHEN a = '' AND b = '' THEN 100 ELSE {RATIO} END AS r FROM filled),
+    rated AS (SELECT word AS s1, other AS s2, NOT english AS label, x.r AS r0, y.r AS r1 FROM halves JOIN ratios x ON x.a = word[:h] AND x.b = other[:g] JOIN ratios y ON y.a = word[h + 1:] AND y.b = other[g + 1:]),
+    mined AS (SELECT s1, s2, label, row_number() OVER (PARTITION BY length(s1), label ORDER BY md5(s1 || ':' || s2), s1, s2) AS k, count(*) FILTER (label) OVER w AS yes, count(*) FILTER (NOT label) OVER w AS no FROM rated
+        WHERE (label AND r0 > 70 AND r1 > 70) OR (NOT label AND r0 < 30 AND r1 < 30 AND abs(length(s1) - length(s2)) <= 2) WINDOW w AS (PARTITION BY length(s1)))
+    SELECT s1, s2, label FROM mined WHERE k <= least(yes, no) UNION ALL SELECT s1, s2, true FROM names JOIN ratios ON a = s1 AND b = s2 WHERE r > 85""")
 def pair_mining_pairs(spark, d):
     words = word_queries(spark, d).select(F.lower("mention").alias("word")).where(~F.col("word").contains(" ")).distinct()
     spoilt = words.select("word", F.explode(F.array(F.translate("word", "eo", "cu"), F.reverse("word"), F.concat("word", F.lit("s")))).alias("other"))
@@ -636,7 +685,21 @@ def confidence_lr(spark, d):
     return D.confidence(scored, D.confidence_model(scored)).select("doc_id", F.round("conf", 4).alias("conf"))
 
 
-@query()
+@query(rf"""WITH counts AS ({TEXT_COUNTS}), kb AS ({NORM}), gaz AS ({GRID}), classes AS ({CLASSES}),
+    sent AS (SELECT doc_id, home, unnest(s) AS sentence, (generate_subscripts(s, 1) - 1)::INT AS sent_idx FROM (SELECT conv_id || '-' || turn AS doc_id, 'src' || (conv_id % 20) AS home, {CUT} AS s FROM conversations)),
+    cut AS (SELECT *, string_split(sentence[1] || replace(sentence[2:], '—', ','), ' ') AS ws FROM sent WHERE length(sentence) > 1),
+    words AS (SELECT doc_id, home, sent_idx, sentence, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM cut),
+    bare AS (SELECT *, coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id, sent_idx ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start, regexp_replace(w, '[^\p{{L}}\p{{N}}’''\-]+$', '') AS word FROM words),
+    runs AS (SELECT *, regexp_matches(word, '^\p{{Lu}}') AS cap, lag(regexp_matches(word, '^\p{{Lu}}') AND word = w, 1, false) OVER (PARTITION BY doc_id, sent_idx ORDER BY i) AS goes_on FROM bare),
+    nested AS (SELECT *, lag(cap AND lower(word) = 'of', 1, false) OVER (PARTITION BY doc_id, sent_idx ORDER BY i) AS after_of FROM runs WHERE word <> ''),
+    numbered AS (SELECT *, sum((cap AND NOT goes_on AND NOT after_of)::INT) OVER (PARTITION BY doc_id, sent_idx ORDER BY i) AS span FROM nested),
+    gaps AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc_id, sent_idx, span ORDER BY i) - start - length(word), 0) AS gap FROM numbered WHERE cap),
+    spans AS (SELECT doc_id, home, sent_idx, sentence, string_agg(word || repeat(' ', gap), '' ORDER BY i) AS mention, min(start) AS pos, max(start + length(word))::INT AS end_pos FROM gaps GROUP BY doc_id, home, sent_idx, sentence, span),
+    found AS (SELECT * FROM spans WHERE length(mention) <> 1 AND NOT (mention = lower(mention) AND regexp_matches(mention, '[\p{{Lu}}\p{{Ll}}\p{{Lt}}]'))),
+    placed AS (SELECT f.mention, f.home, kb.qid, relv, {KM} AS km FROM (SELECT DISTINCT mention, home FROM found) f JOIN kb ON kb.mention = f.mention JOIN gaz ON gaz.qid = kb.qid JOIN (SELECT qid AS home, lat AS lat0, lon AS lon0 FROM gaz) h ON h.home = f.home),
+    nearest AS (SELECT * FROM placed WHERE km < 1000 QUALIFY row_number() OVER (PARTITION BY mention, home ORDER BY round(km, 9), qid) = 1)
+    SELECT f.doc_id, f.sent_idx, f.mention, f.pos, f.end_pos, 'LOC' AS tag, coalesce(n.qid, 'NIL') AS prediction, 1.0::DOUBLE AS ner_score, coalesce(round(((1 + relv) / 2 + CASE WHEN km = 0 THEN 1 ELSE 1 - km / 1000 END) / 2, 3), 0) AS ed_score, f.sentence, class_qid AS wkdt_class
+    FROM found f LEFT JOIN nearest n ON n.mention = f.mention AND n.home = f.home LEFT JOIN classes c ON c.qid = n.qid""")
 def pipeline_by_distance(spark, d):
     """The whole pipeline over documents: partial matches, linked by distance from their source."""
     docs = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text", F.lit("somewhere").alias("place"), F.concat(F.lit("src"), F.col("conv_id") % 20).alias("place_wqid"))
