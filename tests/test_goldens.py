@@ -2,6 +2,7 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -20,7 +21,7 @@ from topograin.plans.experiment import Experiment, scenarios
 from topograin.plans.pipeline import Linker, Pipeline, Ranker, output
 from topograin.sources import annotated as A
 from topograin.sources import kb as KB
-from topograin.sources import sinks
+from topograin.sources import sinks, tables
 
 
 def one(spark, column, **values):
@@ -33,7 +34,18 @@ def test_edit_similarity():
     assert S.osa_similarity("uityity", "asdasd") == 0.0
     assert S.osa_similarity("apple", "orange") == 0.1666666865348816
     assert (S.osa_distance("ca", "abc"), S.osa_distance("ab", "ba"), S.osa_distance("", "é")) == (3, 1, 1)
-    assert S.ratio("", "") == 100 and S.ratio("abcd", "bcde") == 75
+    rng = random.Random(0)
+    some = ["", "é"] + ["".join(rng.choices("abc", k=rng.randint(0, 9))) for _ in range(60)]
+    for a in some:
+        assert S.osa_distances(a, some).tolist() == [S.osa_distance(a, b) for b in some]
+    assert S.osa_distances("ab", ["", ""]).tolist() == [2, 2] and not len(S.osa_distances("ab", []))
+
+
+def test_shared_folder_is_not_local_on_a_cluster():
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    unset = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_dir(unset)
 
 
 def test_containment(spark):

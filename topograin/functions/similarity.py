@@ -52,6 +52,29 @@ def osa_distance(a: str, b: str) -> int:
     return one[-1]
 
 
+def osa_distances(a: str, others: list[str]) -> np.ndarray:
+    """osa_distance of a to each of others, all at once: a row of the table a step."""
+    sizes = np.array([len(b) for b in others], np.int64)
+    width = int(sizes.max(initial=0))
+    codes = np.full((width, len(others)), -1, np.int32)
+    for k, b in enumerate(others):
+        codes[: len(b), k] = [ord(c) for c in b]
+    steps = np.arange(width + 1, dtype=np.int32)[:, None]
+    two, one, before = None, np.broadcast_to(steps, (width + 1, len(others))), None
+    for i, x in enumerate(map(ord, a), 1):
+        same = codes == x
+        row = np.empty((width + 1, len(others)), np.int32)
+        row[0] = i
+        row[1:] = np.minimum(one[1:] + 1, one[:-1] + ~same)
+        if two is not None:
+            swapped = same[:-1] & (codes[1:] == before)
+            row[2:] = np.where(swapped, np.minimum(row[2:], two[:-2] + 1), row[2:])
+        # insertions: each cell is at most one more than the cell before it
+        row = np.minimum.accumulate(row - steps, axis=0) + steps
+        two, one, before = one, row, x
+    return one[sizes, np.arange(len(others))]
+
+
 def osa_similarity(a: str, b: str) -> float:
     """1 less the distance over the longer length, regardless of case; the quotient is rounded
     to a 32-bit float, as stored similarities are."""

@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import containment, osa_distance
+from ..functions.similarity import containment, osa_distances
 
 BLOCK_NAMES, BLOCK_VECTORS = 20_000, 4096
+#: Names that are compared with a query in one step.
+AT_ONCE = 128
 
 
 def normalise_by_entity(counts: DataFrame) -> DataFrame:
@@ -107,14 +109,16 @@ def nearest_names(queries: DataFrame, names: DataFrame, block_names: int = BLOCK
                     # edits are at least the characters of the longer that the shorter lacks
                     bound = (longest - np.minimum(bags, _bags([low])).sum(axis=1)) / longest
                     best, found = 2.0, []
-                    for i in np.argsort(bound, kind="stable"):
-                        if bound[i] > best:
+                    order = np.argsort(bound, kind="stable")
+                    for at in range(0, len(order), AT_ONCE):
+                        near = order[at : at + AT_ONCE]
+                        near = near[bound[near] <= best]
+                        if not len(near):
                             break
-                        d = osa_distance(low, lower[i]) / longest[i]
-                        if d < best:
-                            best, found = d, [i]
-                        elif d == best:
-                            found.append(i)
+                        d = osa_distances(low, [lower[i] for i in near]) / longest[near]
+                        least = float(d.min())
+                        found, best = (found if least == best else []) if least <= best else found, min(best, least)
+                        found += [i for i, e in zip(near, d) if e == best]
                     rows += [(q, held.value[i], 1.0 - float(np.float32(best))) for i in found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, (pa.string(), pa.string(), pa.float64()))], ["mention", "variation", "score"])
 
