@@ -14,8 +14,7 @@ one unseen type a bucket sum to one.
 Training is noise-contrastive estimation in numpy: at either level a target is told from
 noise that is drawn from the unigram distribution. Tasks train on their own texts, from one
 start, and the average of their weights, by tokens, is the model; a first pass over a part of the
-texts makes the start of the second, over all. Every text is read; every `stride`-th position
-is a target, and all positions of a small corpus.
+texts makes the start of the second, over all, in which every token of every text is a target once.
 
 Plan. Passes over the texts, each a stream of batches. (1) Token counts, combined
 per task in Python, then by a hash aggregate; tokens are 64-bit XXH64 values. (2) Training;
@@ -43,9 +42,10 @@ from pyspark.sql import functions as F
 from .shared import written
 
 VOCABULARY, DIMENSION, CONTEXT, NOISE, RESIDENT = 1 << 17, 16, 4, 16, 1 << 18
-#: Distance of targets in training at most, targets that a smaller corpus has (if it has as many tokens), part of
-#: the texts in the first pass, step size, targets of a step at least and per class.
-STRIDE, TARGETS, PART, RATE, BATCH, PER_CLASS = 12, 4_000_000, 16, 0.2, 1024, 32
+#: Part of the texts in the first pass, step size, targets of a step at least and per class.
+PART, RATE, BATCH, PER_CLASS = 16, 0.2, 1024, 32
+#: Targets of a step at most where those two ask for fewer, and steps that a task then takes at least.
+LARGE, STEPS = 1 << 14, 1000
 SEED = 42
 END = b"\n"  # no word has it
 #: Classes of tokens outside the vocabulary, by so many last bytes.
@@ -136,9 +136,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+
+
+def _order(x: np.ndarray, n: int) -> np.ndarray:
+    """A stable order of numbers below n."""
+    return np.argsort(x.astype(np.uint16 if n <= 1 << 16 else np.int32), kind="stable")
+
+
 def _scatter(ids: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of g by id."""
-    return np.stack([np.bincount(ids, weights=x, minlength=n) for x in g.T], axis=1).astype(np.float32)
+    order = _order(ids, n)
+    begin, out = _runs(ids[order]), np.zeros((n, g.shape[1]), np.float32)
+    out[ids[order[begin]]] = np.add.reduceat(g[order], begin, axis=0)
+    return out
 
 
 class Net:
@@ -157,10 +170,12 @@ class Net:
         self.p = {name: w.astype(np.float32) for name, w in p.items()}
         self.order = np.argsort(self.classes, kind="stable")
         self.starts = np.r_[0, np.cumsum(np.bincount(self.classes, minlength=k))]
+        self.rank = np.argsort(self.order)
         self.place = np.empty(len(mass), np.int64)
         self.place[self.order] = np.arange(len(mass)) - self.starts[self.classes[self.order]]
         of_class = np.bincount(self.classes, weights=mass, minlength=k)
         self.by_class, self.inner = of_class, mass / of_class[self.classes]
+        self.upto = np.cumsum(self.inner[self.order])  # one for each class before, and its own up to there
         self.log_class, self.log_inner = np.log(of_class).astype(np.float32), np.log(self.inner).astype(np.float32)
 
     def members(self, k: int) -> np.ndarray:
@@ -178,33 +193,72 @@ class Net:
 
     def gradient(self, before: np.ndarray, target: np.ndarray, rng: np.random.Generator, noise: int = NOISE) -> dict[str, np.ndarray]:
         """Gradient of the noise-contrastive loss of targets, summed; before: (targets, context) outputs."""
-        p, k = self.p, self.classes[target]
+        p = self.p
         x = p["R"][before]
         h = np.einsum("bnd,nd->bd", x, p["C"])
+        grad, gh = self._outputs_gradient(h, target, rng, noise)
+        grad["C"] = np.einsum("bnd,bd->nd", x, gh)
+        grad["R"] = _scatter(before.ravel(), (gh[:, None, :] * p["C"]).reshape(-1, h.shape[1]), len(p["b"]))
+        return grad
+
+    def line_gradient(self, line: np.ndarray, at: np.ndarray, rng: np.random.Generator, noise: int = NOISE) -> dict[str, np.ndarray]:
+        """The same for the outputs at ascending places of a line, whose contexts stand before them.
+
+        Each output between is looked up, and has its gradient added up, once for all targets that it stands before."""
+        p, n, first = self.p, self.context, int(at[0])
+        own = line[first - n : int(at[-1])]
+        x, spots, span = p["R"][own], at - first, int(at[-1]) - first + 1
+        h = sum(x[n - 1 - back : n - 1 - back + span] * p["C"][back] for back in range(n))[spots]
+        grad, gh = self._outputs_gradient(h, line[at], rng, noise)
+        wide = np.zeros((span, h.shape[1]), h.dtype)
+        wide[spots] = gh
+        gx, grad["C"] = np.zeros_like(x), np.empty_like(p["C"])
+        for back in range(n):
+            some = slice(n - 1 - back, n - 1 - back + span)
+            gx[some] += wide * p["C"][back]
+            grad["C"][back] = (x[some] * wide).sum(axis=0)
+        grad["R"] = _scatter(own, gx, len(p["b"]))
+        return grad
+
+    def _outputs_gradient(self, h: np.ndarray, target: np.ndarray, rng: np.random.Generator, noise: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradient by A, a, Q and b, and that by each target's prediction h."""
+        p, n, m = self.p, len(self.p["b"]), len(self.p["a"])
+        order = _order(self.rank[target], n)  # by class, and by target in it
+        target, h = target[order], h[order]
+        k = self.classes[target]
+        begin, of_target = _runs(k), _runs(target)
+        found, end = k[begin], np.r_[begin[1:], len(k)]
         log_noise = np.float32(math.log(noise))  # margins are over the noise's own log-probability
-        n, m = len(p["b"]), len(p["a"])
         drawn = np.searchsorted(np.cumsum(self.by_class)[:-1], rng.random(noise))
         hit = _sigmoid((h * p["A"][k]).sum(axis=1) + p["a"][k] - log_noise) - 1
         miss = _sigmoid(h @ p["A"][drawn].T + p["a"][drawn] - log_noise)
         gh = hit[:, None] * p["A"][k] + miss @ p["A"][drawn]
-        grad = {"A": _scatter(k, hit[:, None] * h, m), "a": np.bincount(k, weights=hit, minlength=m).astype(np.float32)}
+        grad = {"A": np.zeros((m, h.shape[1]), np.float32), "a": np.bincount(k, weights=hit, minlength=m).astype(np.float32)}
+        grad["A"][found] = np.add.reduceat(hit[:, None] * h, begin, axis=0)
         np.add.at(grad["A"], drawn, miss.T @ h)
         np.add.at(grad["a"], drawn, miss.sum(axis=0))
-        hit = _sigmoid((h * p["Q"][target]).sum(axis=1) + p["b"][target] - log_noise) - 1
-        gh += hit[:, None] * p["Q"][target]
-        grad |= {"Q": _scatter(target, hit[:, None] * h, n), "b": np.bincount(target, weights=hit, minlength=n).astype(np.float32)}
-        order = np.argsort(k, kind="stable")
-        bounds = np.searchsorted(k[order], np.arange(m + 1))
-        for q in np.unique(k).tolist():  # the class's targets meet noise of their class
-            rows, own = order[bounds[q] : bounds[q + 1]], self.members(q)
-            drawn = own[np.searchsorted(np.cumsum(self.inner[own])[:-1], rng.random(noise))]
-            miss = _sigmoid(h[rows] @ p["Q"][drawn].T + p["b"][drawn] - log_noise)
-            gh[rows] += miss @ p["Q"][drawn]
-            np.add.at(grad["Q"], drawn, miss.T @ h[rows])
-            np.add.at(grad["b"], drawn, miss.sum(axis=0))
-        grad["C"] = np.einsum("bnd,bd->nd", x, gh)
-        grad["R"] = _scatter(before.ravel(), (gh[:, None, :] * p["C"]).reshape(-1, h.shape[1]), n)
-        return grad
+        own = p["Q"][target]
+        hit = _sigmoid((h * own).sum(axis=1) + p["b"][target] - log_noise) - 1
+        gh += hit[:, None] * own
+        grad |= {"Q": np.zeros((n, h.shape[1]), np.float32), "b": np.bincount(target, weights=hit, minlength=n).astype(np.float32)}
+        grad["Q"][target[of_target]] = np.add.reduceat(hit[:, None] * h, of_target, axis=0)
+        # the targets of a class meet noise of their class
+        drawn = np.searchsorted(self.upto, found[:, None] + rng.random((len(found), noise)))
+        drawn = self.order[np.clip(drawn, self.starts[found, None], self.starts[found + 1, None] - 1)]
+        vectors = p["Q"][drawn]
+        miss = np.empty((len(k), noise), h.dtype)
+        for i, (x, y) in enumerate(zip(begin.tolist(), end.tolist())):
+            np.matmul(h[x:y], vectors[i].T, out=miss[x:y])
+        miss = _sigmoid(miss + np.repeat(p["b"][drawn] - log_noise, end - begin, axis=0))
+        by_noise = np.empty_like(vectors)
+        for i, (x, y) in enumerate(zip(begin.tolist(), end.tolist())):
+            gh[x:y] += miss[x:y] @ vectors[i]
+            np.matmul(miss[x:y].T, h[x:y], out=by_noise[i])
+        np.add.at(grad["Q"], drawn.ravel(), by_noise.reshape(-1, h.shape[1]))
+        grad["b"] += np.bincount(drawn.ravel(), weights=np.add.reduceat(miss, begin, axis=0).ravel(), minlength=n).astype(np.float32)
+        out = np.empty_like(gh)
+        out[order] = gh
+        return grad, out
 
     def log10(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 P of the outputs at those places of a line, whose contexts stand before them."""
@@ -241,19 +295,18 @@ class Net:
 
 
 class Trainer:
-    """Adaptive gradient steps over a stream of outputs; a step has targets enough for each class's noise."""
+    """Adaptive gradient steps over a stream of outputs; a step has targets enough for each class's noise, or `batch`."""
 
-    def __init__(self, net: Net, seed: int, stride: int = 1, rate: float = RATE):
-        self.net, self.rng, self.stride, self.rate = net, np.random.default_rng([SEED, seed]), stride, rate
-        self.batch = max(BATCH, PER_CLASS * len(net.p["a"]))
+    def __init__(self, net: Net, seed: int, rate: float = RATE, batch: int = 0):
+        self.net, self.rng, self.rate = net, np.random.default_rng([SEED, seed]), rate
+        self.batch = max(BATCH, PER_CLASS * len(net.p["a"]), batch)
         self.squares = {k: np.full_like(w, 1e-8) for k, w in net.p.items()}
 
     def take(self, line: np.ndarray, at: np.ndarray) -> None:
-        chosen = at[int(self.rng.integers(self.stride)) :: self.stride]
-        back = np.arange(1, self.net.context + 1)
-        for i in range(0, len(chosen), self.batch):
-            some = chosen[i : i + self.batch]
-            for k, g in self.net.gradient(line[some[:, None] - back], line[some], self.rng).items():
+        """Steps over the outputs at those ascending places, each a target."""
+        for i in range(0, len(at), self.batch):
+            some = at[i : i + self.batch]
+            for k, g in self.net.line_gradient(line, some, self.rng).items():
                 g /= max(len(some), self.batch / 4)
                 self.squares[k] += g * g
                 self.net.p[k] -= self.rate * g / np.sqrt(self.squares[k])
@@ -293,15 +346,16 @@ class Model:
         return np.log10(np.where(self.others > 0, self.discount * self.kinds / np.maximum(self.others, 1), 1.0))
 
 
-def _trained(texts: DataFrame, model: Model, stride: int, seed: int, tasks: int) -> np.ndarray:
+def _trained(texts: DataFrame, model: Model, seed: int, tasks: int) -> np.ndarray:
     """Weights after a pass over the texts, averaged over the tasks by their tokens."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
+    batch_size = min(LARGE, model.total // tasks // STEPS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, lookup, of, seen = shared.value, Lookup(), np.zeros(0, np.int64), 0
         net = Net.__new__(Net)
         net.__dict__ |= model.net.__dict__ | {"p": {k: w.copy() for k, w in model.net.p.items()}}
-        trainer = Trainer(net, seed * 1_000_003 + TaskContext.get().partitionId(), stride)
+        trainer = Trainer(net, seed * 1_000_003 + TaskContext.get().partitionId(), batch=batch_size)
         held: list[list[bytes]] = []
 
         def learn() -> None:
@@ -347,7 +401,7 @@ def _trained(texts: DataFrame, model: Model, stride: int, seed: int, tasks: int)
     return sum(r.tokens * np.frombuffer(r.weights, np.float32).astype(np.float64) for r in rows) / sum(r.tokens for r in rows)
 
 
-def fit(texts: DataFrame, vocabulary: int = VOCABULARY, dimension: int = DIMENSION, context: int = CONTEXT, stride: int = STRIDE, resident: int = RESIDENT) -> tuple[Model, DataFrame]:
+def fit(texts: DataFrame, vocabulary: int = VOCABULARY, dimension: int = DIMENSION, context: int = CONTEXT, resident: int = RESIDENT) -> tuple[Model, DataFrame]:
     """The model, and its table (h, b, c) of all token counts, from a binary column text.
 
     Weights depend on how the texts are dealt over tasks, counts do not."""
@@ -370,10 +424,9 @@ def fit(texts: DataFrame, vocabulary: int = VOCABULARY, dimension: int = DIMENSI
     own = np.flatnonzero(h == token_hash(END))
     net = Net(mass / mass.sum(), BUCKETS + int(own[0]) if len(own) else bucket(END), dimension, context)
     model = Model(keys, np.r_[c, held["c"].to_numpy()][at], outputs, net, int(stats.n), int(stats.v), others, kinds, discount)
-    stride = max(1, min(stride, model.total // TARGETS))
     tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-model.total // TASK_TOKENS))
-    net.load(_trained(texts.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0), model, stride, 1, tasks))
-    net.load(_trained(texts, model, stride, 2, tasks))
+    net.load(_trained(texts.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0), model, 1, tasks))
+    net.load(_trained(texts, model, 2, tasks))
     return model, counts
 
 
